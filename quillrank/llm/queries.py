@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ngram_join, prefix_bpe, substring_dedup, suffix_dedup, token_files
+from . import disclosure, language_id, ngram_join, prefix_bpe, substring_dedup, suffix_dedup, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +21,10 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), width=5, percent=75)
 
 
+def op6_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return disclosure.find_disclosures(_table(spark, sf_dir, "documents")).drop("sanitised")
+
+
 def op7_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_bpe.encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
 
@@ -28,10 +33,17 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeated_bytes(_table(spark, sf_dir, "documents"), length=50, with_text=False)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(docs.where(~language_id.held_out()))
+    found = language_id.predict(docs.select("doc_id", F.coalesce(language_id.held_out(), F.lit(False)).alias("held_out"), "text"), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_files.write_token_files(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
     return token_files.read_token_files(files)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op5_ngram_jaccard_join, op7_sentencepiece_codec, op8_suffix_array_dedup, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op5_ngram_jaccard_join, op6_pii_disclosure, op7_sentencepiece_codec, op8_suffix_array_dedup, op9_language_id, op10_token_files)}
 ORACLE_SQL: dict[str, str] = {}
