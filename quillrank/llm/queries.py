@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import disclosure, language_id, ngram_join, prefix_bpe, substring_dedup, suffix_dedup, token_files
+from . import chroma, decontaminate, disclosure, language_id, masked_lm, ngram_join, prefix_bpe, substring_dedup, suffix_dedup, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,21 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeated_windows(_table(spark, sf_dir, "documents"), width=50, with_text=False)
 
 
+def op2_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The UTF-8 bytes of every text, played as 8-bit PCM: the tables hold no audio."""
+    recordings = _table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("audio"))
+    return chroma.identify(recordings, F.col("doc_id") % 20 == 0)
+
+
+def op3_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return masked_lm.score(docs, masked_lm.fit(docs))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), width=5, percent=75)
 
@@ -45,5 +60,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(files)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op5_ngram_jaccard_join, op6_pii_disclosure, op7_sentencepiece_codec, op8_suffix_array_dedup, op9_language_id, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_chroma_fingerprints, op3_masked_pseudo_likelihood, op4_decontamination, op5_ngram_jaccard_join, op6_pii_disclosure, op7_sentencepiece_codec, op8_suffix_array_dedup, op9_language_id, op10_token_files)}
 ORACLE_SQL: dict[str, str] = {}
