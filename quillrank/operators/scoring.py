@@ -69,7 +69,7 @@ def top_k(scores: DataFrame, k: int) -> DataFrame:
     """(qid, doc_id, rank, score): by rounded score, then the smaller document id; never padded."""
     ranked = scores.select("qid", "doc_id", rounded().alias("score"))
     order = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("doc_id"))
-    return ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", "doc_id", "rank", "score")
+    return ranked.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select("qid", "doc_id", "rank", "score")
 
 
 def kth_scores(top: DataFrame, k: int) -> DataFrame:
@@ -86,8 +86,8 @@ def merged_top_k(scores: DataFrame, k: int, shards: int, local_k: int) -> DataFr
     shard = F.pmod(F.col("doc_id"), F.lit(shards)).alias("shard")
     ranked = scores.select("qid", "doc_id", rounded().alias("score"), shard)
     order = [F.col("score").desc(), F.col("doc_id")]
-    local = ranked.withColumn("local_rank", F.row_number().over(Window.partitionBy("qid", "shard").orderBy(*order))).where(F.col("local_rank") <= local_k)
-    merged = local.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).where(F.col("rank") <= k)
+    local = ranked.withColumn("local_rank", F.row_number().over(Window.partitionBy("qid", "shard").orderBy(*order)).cast("long")).where(F.col("local_rank") <= local_k)
+    merged = local.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order)).cast("long")).where(F.col("rank") <= k)
     deepest = F.max("local_rank").over(Window.partitionBy("qid"))
     return merged.withColumn("deep", (deepest == local_k) & F.lit(local_k < k)).select("qid", "doc_id", "rank", "score", "local_rank", "deep")
 

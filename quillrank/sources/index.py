@@ -32,15 +32,21 @@ def count_postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return words.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def with_dense_ids(df: DataFrame, key: str, name: str) -> DataFrame:
-    """df with the rank (from 0) of its distinct key: ranges of keys are numbered apart and shifted by what is before them."""
+def with_dense_ids(df: DataFrame, key: str, name: str, path: str) -> DataFrame:
+    """df, with distinct values of key, and their ranks from 0.
+
+    Ranges of keys are numbered apart and shifted by what is before them.  They are written to path first: computed again, the
+    ranges could be cut at other keys.
+    """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, key).sortWithinPartitions(key).select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().alias("__row"))
-    ranged = ranged.withColumn("__at", F.col("__row").bitwiseAND(F.lit((1 << 33) - 1)))
+    ranged = df.repartitionByRange(parts, key).sortWithinPartitions(key)
+    row = F.monotonically_increasing_id()
+    ranged.select("*", F.shiftright(row, 33).alias("__part"), row.bitwiseAND(F.lit((1 << 33) - 1)).alias("__at")).write.mode("overwrite").parquet(path)
+    ranged = spark.read.parquet(path)
     sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row per partition
-    return ranged.join(F.broadcast(before.select("__part", "__before")), "__part").withColumn(name, (F.col("__before") + F.col("__at")).cast("int")).drop("__part", "__row", "__at", "__before")
+    before = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))  # a row per range
+    return ranged.join(F.broadcast(before), "__part").withColumn(name, (F.col("__before") + F.col("__at")).cast("int")).drop("__part", "__at", "__before")
 
 
 @dataclass
@@ -69,7 +75,7 @@ class Index:
         count_postings(docs, id_col, text_col).write.mode("overwrite").parquet(raw)
         found = spark.read.parquet(raw)
         terms = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-        with_dense_ids(terms, "term", "term_id").select("term_id", "term", "df", "cf").write.mode("overwrite").parquet(f"{path}/terms")
+        with_dense_ids(terms, "term", "term_id", f"{path}/ranges").select("term_id", "term", "df", "cf").write.mode("overwrite").parquet(f"{path}/terms")
         sizes = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("degree"), F.sum("tf").alias("len"))
         label = F.col(label_col) if label_col else F.lit(None)
         rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), label.cast("string").alias("label")).join(sizes, "doc_id", "left")
