@@ -9,14 +9,17 @@ Documents are dealt by ranges of ids, so files and the documents in them are in
 first, rows that share one in the order of their texts' hash).  A file is written under a name of its task's own and
 renamed when it is whole: a task that is run again replaces its file by an equal one.
 
-Words between single spaces are encoded apart, as the byte-level pre-tokenizer cuts there; each distinct word goes to
-the tokenizers library once while it is remembered.  Texts with other white space beside a space are encoded whole.
+Words between single spaces are encoded apart, as the byte-level pre-tokenizer cuts there, and remembered.  New words
+go to the tokenizers library; those of Latin characters (below U+0250), to a quicker merger that is built from the loaded
+tokenizer's own merges and pre-tokenizer pattern (no other vocabulary; tests hold both against each other).  Texts with
+other white space beside a space are encoded whole by the library.
 
 Nulls: a null text is empty, its document has the end id only.  An empty table makes no files and no rows.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -37,6 +40,8 @@ from ._blocks import shared_dir, text_bytes, written
 #: Fixed values of the public zstandard seekable format.
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEK_FOOTER = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 FRAME_BYTES = 1 << 18
+#: Fixed pattern of the byte-level pre-tokenizer.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def _filesystem(path: str):
@@ -148,17 +153,42 @@ class WordEncoder:
         pieces = self.tokenizer.get_vocab(with_added_tokens=True)
         self.width = np.zeros(max(pieces.values()) + 1, np.int64)
         self.width[list(pieces.values())] = [len(p) for p in pieces]
-
-    def apart(self, words: list[str]) -> list[bytes]:
-        """Ids of " word" for each word, encoded as one text and cut at the words' ends."""
+        self.quick = self._merger(json.loads(self.tokenizer.to_str()), pieces)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.marks = dict(zip(".,;:!?", self.plain(list(".,;:!?")), strict=True))
+
+    def _merger(self, whole: dict, pieces: dict[str, int]):
+        """A quick merger with this tokenizer's own merges, for words of Latin characters.
+
+        Only where the tokenizer is a plain byte-level one and its ids follow the order of its merges, as ranks have to;
+        else none, and the library encodes all words.
+        """
+        model, pre = whole["model"], whole["pre_tokenizer"] or {}
+        if whole["normalizer"] or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+            return None
+        import tiktoken
+
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256 on
+        hidden = [c for c in range(256) if c not in shown]
+        byte = {chr(c): c for c in shown} | {chr(256 + i): c for i, c in enumerate(hidden)}
+        merges = [pieces["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        usual = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+        if not usual or merges != sorted(set(merges)) or any(pieces.get(c, merges[0]) >= merges[0] for c in byte):
+            return None
+        made = set(merges)
+        ranks = {bytes(byte[c] for c in p): i for p, i in pieces.items() if all(c in byte for c in p) and (len(p) == 1 or i in made)}
+        return tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def apart(self, words: list[str], latin: bool) -> list[bytes]:
+        """Ids of " word" for each word, many at a time and cut at the words' ends; latin: no other characters, no special token."""
         if not words:
             return []
         text = " " + " ".join(words)
-        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.cumsum([len(w.encode()) + 1 for w in words])
+        ids = np.array(self.quick.encode_ordinary(text) if latin and self.quick else self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.cumsum([len(w) + 1 if w.isascii() else len(w.encode()) + 1 for w in words])
         at = np.cumsum(self.width[ids])
         cut = np.searchsorted(at, ends, side="left") + 1
-        if (at[-1] != ends[-1] or (at[cut - 1] != ends).any()):
+        if at[-1] != ends[-1] or (at[cut - 1] != ends).any():
             return self.plain([" " + w for w in words])
         raw, cut = ids.tobytes(), (4 * cut).tolist()
         return [raw[a:b] for a, b in zip([0, *cut[:-1]], cut, strict=True)]
@@ -173,15 +203,28 @@ class WordEncoder:
         own, missing = {}, set()
         for parts in cut:
             missing.update(filterfalse(words.__contains__, islice(parts, 1, None)))
-        for w in [x for x in missing if x in old]:
-            words[w] = old[w]
-            missing.discard(w)
-        todo = list(missing)
-        good = [bool(w) and not w[0].isspace() and not w[-1].isspace() for w in todo]
-        found = self.apart([w for w, ok in zip(todo, good, strict=True) if ok])
-        it = iter(found)
-        for w, ok in zip(todo, good, strict=True):
-            (words if len(w) <= self.longest else own)[w] = next(it) if ok else None
+        simple, ending, other, mixed = set(), [], [], []
+        for w in missing:
+            if w in old:
+                words[w] = old[w]
+            elif len(w) > self.longest or not w or max(w) >= "\u0250" or w[0].isspace() or w[-1].isspace() or any(x in w for x in self.special):
+                other.append(w)
+            elif w.isalpha():
+                simple.add(w)
+            elif w[-1] in self.marks and w[:-1].isalpha():
+                ending.append(w)
+                if w[:-1] not in words:
+                    simple.add(w[:-1])
+            else:
+                mixed.append(w)
+        todo = [*simple, *mixed]
+        words.update(zip(todo, self.apart(todo, True), strict=True))
+        for w in ending:
+            words[w] = words[w[:-1]] + self.marks[w[-1]]
+        good = [w for w in other if w and not w[0].isspace() and not w[-1].isspace()]
+        found = dict(zip(good, self.apart(good, False), strict=True))
+        for w in other:
+            (words if len(w) <= self.longest else own)[w] = found.get(w)
         first = self.plain([p[0] for p in cut])
         out: list = []
         for text, parts, head in zip(texts, cut, first, strict=True):
