@@ -214,12 +214,12 @@ def sketch_rows(block: int, h: np.ndarray, bits: int, depth: int, slices: int, t
     out: dict[str, list] = {k: [] for k in _CELLS.names}
     for r, cells in enumerate(rows_of(h, bits, depth)):
         at, n = np.unique(cells, return_counts=True)
-        n = np.minimum(n, top).astype(np.uint8)
+        n = np.minimum(n, top).astype(np.uint64)
         cuts = slice_cuts(at, bits, slices)
         for s in range(slices):
             a, b = cuts[s], cuts[s + 1]
             if b > a:
-                for k, v in zip(_CELLS.names, (s, block, r, pack_sorted(at[a:b]), zip_bytes(n[a:b])), strict=True):
+                for k, v in zip(_CELLS.names, (s, block, r, pack_sorted(at[a:b]), pack(n[a:b])), strict=True):
                     out[k].append(v)
     return pa.table(out, _CELLS)
 
@@ -233,24 +233,24 @@ def merge_sketches(top: int):
         for r in sorted({x["row"] for x in rows}):
             own = [x for x in rows if x["row"] == r]
             lists = [unpack_sorted(x["cells"]) for x in own]
-            cells, counts = np.concatenate(lists), np.concatenate([unzip_bytes(x["counts"]) for x in own])
+            cells, counts = np.concatenate(lists), np.concatenate([unpack(x["counts"]) for x in own])
             order = np.argsort(cells, kind="stable")
             new = np.append(True, cells[order][1:] != cells[order][:-1])
-            sums = np.minimum(np.add.reduceat(counts[order].astype(np.int64), np.flatnonzero(new)), top).astype(np.uint8)
-            answer = np.empty(cells.size, np.uint8)
+            sums = np.minimum(np.add.reduceat(counts[order], np.flatnonzero(new)), U(top))
+            answer = np.empty(cells.size, np.uint64)
             answer[order] = sums[np.cumsum(new) - 1]
             for x, part in zip(own, np.split(answer, np.cumsum([a.size for a in lists])[:-1]), strict=True):
-                for k, v in zip(_ANSWERS.names, (x["block"], r, x["slice"], zip_bytes(part)), strict=True):
+                for k, v in zip(_ANSWERS.names, (x["block"], r, x["slice"], pack(part)), strict=True):
                     out[k].append(v)
         return pa.table(out, _ANSWERS)
 
     return merge
 
 
-def answers(table: pa.Table, kind: int, dtype=np.uint8) -> np.ndarray:
+def answers(table: pa.Table, kind: int) -> np.ndarray:
     """The answers of one kind to this block, in the order of its sorted list."""
     rows = sorted((s, a) for k, s, a in zip(table["kind"].to_pylist(), table["slice"].to_pylist(), table["answer"].to_pylist(), strict=True) if k == kind)
-    return np.concatenate([unzip_bytes(a, dtype) for _, a in rows]) if rows else np.zeros(0, dtype)
+    return np.concatenate([unpack(a) for _, a in rows]) if rows else np.zeros(0, np.uint64)
 
 
 def estimates(h: np.ndarray, bits: int, depth: int, table: pa.Table) -> np.ndarray:
@@ -258,6 +258,6 @@ def estimates(h: np.ndarray, bits: int, depth: int, table: pa.Table) -> np.ndarr
     least = None
     for r, cells in enumerate(rows_of(h, bits, depth)):
         _, inverse = np.unique(cells, return_inverse=True)
-        got = answers(table, r)[inverse] if h.size else np.zeros(0, np.uint8)
+        got = answers(table, r)[inverse] if h.size else np.zeros(0, np.uint64)
         least = got if least is None else np.minimum(least, got)
     return least

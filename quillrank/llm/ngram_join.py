@@ -1,7 +1,7 @@
 """Jaccard self-join over word n-grams, by rare-first prefix filtering.
 
 1. A census of n-gram hashes (see _blocks) tells every block in how many documents each of its n-grams occurs.  The
-   order (that number, hash) is the same everywhere: rare n-grams first.  An n-gram of one document only cannot join, but
+   order (that number, hash) is the same everywhere: rare n-grams first (above 63 documents by sixths of a doubling).  An n-gram of one document only cannot join, but
    takes its place at the front of the order.
 2. Two sets can reach the threshold only if they share an n-gram of their prefixes (the first n - ceil(t n) + 1).  Only
    documents with a shared n-gram in the prefix keep postings.  Equal sets are one node.
@@ -65,6 +65,11 @@ def shingle_sets(t: B.Texts, width: int) -> tuple[np.ndarray, np.ndarray]:
     return d[new], h[new]
 
 
+def rarity(df: np.ndarray) -> np.ndarray:
+    """A number of documents in 8 bits that keeps its order: itself up to 63, then six steps for each doubling."""
+    return np.where(df < 64, df, np.minimum(255, 64 + np.floor(6 * np.log2(np.maximum(df, 64) / 64.0)))).astype(np.uint64)
+
+
 def _suffix_filter(x: np.ndarray, y: np.ndarray, most: int, depth: int) -> int:
     """A lower bound of the Hamming distance of two sorted arrays; stops above most."""
     if depth == 0 or not x.size or not y.size:
@@ -101,7 +106,7 @@ def _verify(percent: int):
 
 
 def jaccard_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, block_bytes: int = 4 << 20, star_rounds: int = 6, open_pairs_per_posting: int = 8
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, block_bytes: int = 4 << 20, star_rounds: int = 6, open_pairs_per_posting: int = 100
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, link_group for every row of docs."""
     total = B.text_bytes(docs, text_col)
@@ -110,7 +115,7 @@ def jaccard_components(
     dealt = B.dealt(docs, id_col, text_col, blocks)
 
     def census(key, table):
-        return B.sketch_rows(key[0].as_py(), shingle_sets(B.Texts(table), width)[1], bits, 1, slices, 255)
+        return B.sketch_rows(key[0].as_py(), shingle_sets(B.Texts(table), width)[1], bits, 1, slices, 1 << 40)
 
     def sets(key, table, got):
         t = B.Texts(table)
@@ -123,14 +128,14 @@ def jaccard_components(
             ends = np.cumsum(n)
             sig.append((run[ends] - run[ends - n]).astype(np.int64))
         k = np.flatnonzero(df >= 2)
-        dk, key64 = d[k], (df[k].astype(np.uint64) << B.U(56)) | (h[k] >> B.U(8))
+        dk, key64 = d[k], (rarity(df[k]) << B.U(56)) | (h[k] >> B.U(8))
         order = np.lexsort((key64, dk))
         key64 = key64[order]
         m = np.bincount(dk, minlength=n.size)
         ends = np.cumsum(m)
         reach = (n - (percent * n + 99) // 100 + 1) - (n - m)  # prefix length less the n-grams of this document only
         seen: set = set()
-        prefix, tokens = [], []
+        tokens = []
         for i in np.argsort(t.ids, kind="stable").tolist():
             name = (n[i], sig[0][i], sig[1][i])
             tokens.append((i, bool(n[i] > 0 and reach[i] > 0 and t.ids[i] != B.NO_ID and name not in seen)))
@@ -140,7 +145,7 @@ def jaccard_components(
         prefix = [None if x is None else x[: reach[i]].view(np.int64) for i, x in enumerate(lists)]
         return pa.table([t.id_column(), n, *sig, n - m, pa.array(prefix, pa.list_(pa.int64())), pa.array([None if x is None else x.tobytes() for x in lists], pa.binary())], _SETS)
 
-    counts = dealt.groupBy("block").applyInArrow(census, B.CELLS).groupBy("slice").applyInArrow(B.merge_sketches(255), B.ANSWERS)
+    counts = dealt.groupBy("block").applyInArrow(census, B.CELLS).groupBy("slice").applyInArrow(B.merge_sketches(1 << 40), B.ANSWERS)
     table = B.written(dealt.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(sets, SETS), "sets")
 
     name = ["n", "sig_a", "sig_b"]
@@ -154,11 +159,14 @@ def jaccard_components(
     sides = reps.select("node", "doc_id", "n", "tokens")
 
     def proposed(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
-        """One row per pair that passes the length and positional filters."""
+        """One row per pair that passes the length and positional filters.
+
+        A pair that reaches the threshold has, at its first common n-gram, what is left of the smaller rest to reach the
+        overlap it needs; that n-gram is in both prefixes, so a row that falls short can go before pairs are made.
+        """
         need = F.ceil(F.lit(percent) * (F.col("n_u") + F.col("n_v")) / F.lit(100 + percent))
-        left = F.lit(1) + F.least(F.col("n_u") - F.col("p_u"), F.col("n_v") - F.col("p_v")) - F.lit(1)
-        pairs = pairs.where(F.lit(100) * F.least("n_u", "n_v") >= F.lit(percent) * F.greatest("n_u", "n_v"))
-        pairs = pairs.groupBy("u", "v", "n_u", "n_v").agg(F.max(left).alias("most")).where(F.col("most") >= need).select("u", "v")
+        left = F.least(F.col("n_u") - F.col("p_u"), F.col("n_v") - F.col("p_v"))
+        pairs = pairs.where((F.lit(100) * F.least("n_u", "n_v") >= F.lit(percent) * F.greatest("n_u", "n_v")) & (left >= need)).select("u", "v").distinct()
         return pairs if tested is None else pairs.join(tested.select("u", "v"), ["u", "v"], "left_anti")
 
     def verified(pairs: DataFrame) -> DataFrame:

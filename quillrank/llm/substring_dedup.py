@@ -79,10 +79,10 @@ def remove_repeated_windows(
         order = np.lexsort((w, h))
         new = np.append(True, (h[order][1:] != h[order][:-1]) | (w[order][1:] != w[order][:-1]))
         least = np.minimum.reduceat(d[order], np.flatnonzero(new))[np.cumsum(new) - 1]
-        flag = np.empty(h.size, np.uint8)
+        flag = np.empty(h.size, np.uint64)
         flag[order] = least < d[order]
         cut = np.split(flag, np.cumsum([p[0].size for p in parts])[:-1])
-        return pa.table([[x["block"] for x in rows], [EXACT] * len(rows), [x["slice"] for x in rows], [B.zip_bytes(f) for f in cut]], B._ANSWERS)
+        return pa.table([[x["block"] for x in rows], [EXACT] * len(rows), [x["slice"] for x in rows], [B.pack(f) for f in cut]], B._ANSWERS)
 
     def remove(key, table, got):
         t = B.Texts(table)
