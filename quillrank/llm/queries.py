@@ -90,8 +90,8 @@ ORACLE_SQL: dict[str, str] = {
         WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
         pos AS (SELECT doc_id, k, substr(h, 2 * k + 1, 2) AS b, CASE WHEN 2 * k + 100 <= length(h) THEN substr(h, 2 * k + 1, 100) END AS s
                 FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2)) AS k FROM d)),
-        hit AS (SELECT doc_id, k, b, CASE WHEN s IS NOT NULL AND min(doc_id) OVER (PARTITION BY s) < doc_id THEN k END AS at FROM pos),
-        mark AS (SELECT doc_id, k, b, coalesce(max(at) OVER (PARTITION BY doc_id ORDER BY k) >= k - 49, false) AS gone FROM hit),
+        hit AS (SELECT doc_id, k, b, CASE WHEN s IS NOT NULL AND min(doc_id) OVER (PARTITION BY s) < doc_id THEN k END AS hit_k FROM pos),
+        mark AS (SELECT doc_id, k, b, coalesce(max(hit_k) OVER (PARTITION BY doc_id ORDER BY k) >= k - 49, false) AS gone FROM hit),
         run AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY k), false) AS begins FROM mark),
         agg AS (SELECT doc_id, count(*) FILTER (gone) AS n, count(*) FILTER (begins) AS spans, string_agg(b, '' ORDER BY k) FILTER (NOT gone) AS t FROM run GROUP BY doc_id)
         SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(t, ''))) AS kept_sha256
