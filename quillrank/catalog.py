@@ -206,8 +206,7 @@ def vbmw_partition(spark, sf_dir):
 @_registered
 def essential_lists(spark, sf_dir):
     index, bound = _bound(spark, sf_dir)
-    _, limits = bounds.list_bounds(index, BM25, bound)
-    return pruning.split_lists(bound, limits, _thresholds(spark, sf_dir)).select("qid", "term_id", "df", *_six("upto"), "essential")
+    return pruning.split_lists(bound, bounds.held_term_bounds(index, BM25), _thresholds(spark, sf_dir)).select("qid", "term_id", "df", *_six("upto"), "essential")
 
 
 # ---------------------------------------------------------------- reports

@@ -83,7 +83,19 @@ def bound_histogram(blocks: DataFrame, terms: DataFrame) -> DataFrame:
     return counted.withColumn("share", F.round(F.lit(100.0) * F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))), 6))  # at most 51 rows
 
 
-def list_bounds(index: Index, model: RankingModel, bound: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(impacts, term bounds) of the terms in a bound query log."""
-    own = impacts(index, model, bound)
-    return own, term_bounds(own)
+def held_term_bounds(index: Index, model: RankingModel) -> DataFrame:
+    """term_bounds of the whole index, made once for a model and kept with the index."""
+    return index.derived(f"term bounds {model!r}", lambda: term_bounds(impacts(index, model)))
+
+
+def held_blocks(index: Index, model: RankingModel, radix: int, layout: str) -> DataFrame:
+    """(term_id, block, bound) of ranges of 2**radix documents, from document- or posting-aligned blocks, kept with the index."""
+    if layout == "document":
+        return index.derived(f"document blocks {radix} {model!r}", lambda: document_blocks(impacts(index, model), radix))
+    return index.derived(f"posting blocks {radix} {model!r}", lambda: aligned(posting_blocks(impacts(index, model), radix), radix))
+
+
+def aligned(blocks: DataFrame, radix: int) -> DataFrame:
+    """Blocks of lists, given by their first and last document, as bounds of ranges of 2**radix document ids."""
+    spread = blocks.select("term_id", F.explode(F.sequence(F.shiftright("first_doc", radix), F.shiftright("last_doc", radix))).alias("block"), "bound")
+    return spread.groupBy("term_id", "block").agg(F.max("bound").alias("bound"))

@@ -13,11 +13,17 @@ from pyspark.sql import functions as F
 from quillrank.functions.models import RankingModel
 from quillrank.operators import bounds
 from quillrank.operators.scoring import accumulate, kth_scores, matches, top_k
-from quillrank.sources.index import Index, small
+from quillrank.sources.index import BROADCAST_ROWS, Index, small
 
 SLACK = 2e-6
 
 
+def held(pairs: DataFrame) -> DataFrame:
+    """Pairs that filter postings, computed once; broadcast if there are few, so that postings are filtered before any shuffle."""
+    pairs = pairs.cache()
+    return F.broadcast(pairs) if pairs.count() <= BROADCAST_ROWS else pairs
+
+
 def own_bound(index: Index, model: RankingModel) -> float:
     """The largest own part that any document has."""
     own = model.document_part(index.collection)
@@ -36,34 +42,27 @@ def split_lists(bound: DataFrame, term_bounds: DataFrame, thresholds: DataFrame,
     return joined.withColumn("essential", F.coalesce(reach >= F.col("threshold") - SLACK, F.lit(True)))
 
 
-def seeds(index: Index, bound: DataFrame, model: RankingModel, k: int) -> DataFrame:
+def seeds(index: Index, bound: DataFrame, model: RankingModel, k: int, hint=small) -> DataFrame:
     """(qid, threshold): the k-th exact score among the documents of each query's rarest lists that hold k postings."""
     order = Window.partitionBy("qid").orderBy("df", "term_id").rowsBetween(Window.unboundedPreceding, -1)
     rare = bound.withColumn("before", F.coalesce(F.sum("df").over(order), F.lit(0))).where(F.col("before") < 2 * k)
-    some = index.postings.join(small(rare.select("qid", "term_id")), "term_id").select("qid", "doc_id").distinct()
-    found = matches(index, bound, model).join(small(some), ["qid", "doc_id"], "left_semi")
-    return kth_scores(top_k(accumulate(found, model, index), k), k)
+    some = index.postings.join(hint(rare.select("qid", "term_id")), "term_id").select("qid", "doc_id").distinct()
+    found = matches(index, bound, model, hint).join(held(some), ["qid", "doc_id"], "left_semi")
+    return held(kth_scores(top_k(accumulate(found, model, index), k), k))
 
 
-def maxscore(index: Index, bound: DataFrame, model: RankingModel, k: int) -> DataFrame:
+def maxscore(index: Index, bound: DataFrame, model: RankingModel, k: int, hint=small) -> DataFrame:
     """Candidates come from the essential lists only; the others complete their scores."""
-    bound = bound.cache()
-    _, limits = bounds.list_bounds(index, model, bound)
-    split = split_lists(bound, limits, seeds(index, bound, model, k), own_bound(index, model)).cache()
-    candidates = index.postings.join(small(split.where("essential").select("qid", "term_id")), "term_id").select("qid", "doc_id").distinct()
-    found = matches(index, bound, model).join(candidates, ["qid", "doc_id"], "left_semi")
+    limits = bounds.held_term_bounds(index, model)
+    split = split_lists(bound, limits, seeds(index, bound, model, k, hint), own_bound(index, model))
+    candidates = index.postings.join(hint(split.where("essential").select("qid", "term_id")), "term_id").select("qid", "doc_id").distinct()
+    found = matches(index, bound, model, hint).join(held(candidates), ["qid", "doc_id"], "left_semi")
     return top_k(accumulate(found, model, index), k)
 
 
-def aligned(blocks: DataFrame, radix: int) -> DataFrame:
-    """Blocks of lists, given by their first and last document, as bounds of ranges of 2**radix document ids."""
-    spread = blocks.select("term_id", F.explode(F.sequence(F.shiftright("first_doc", radix), F.shiftright("last_doc", radix))).alias("block"), "bound")
-    return spread.groupBy("term_id", "block").agg(F.max("bound").alias("bound"))
-
-
-def surviving_blocks(index: Index, bound: DataFrame, model: RankingModel, blocks: DataFrame, thresholds: DataFrame, radix: int) -> DataFrame:
+def surviving_blocks(index: Index, bound: DataFrame, model: RankingModel, blocks: DataFrame, thresholds: DataFrame, radix: int, hint=small) -> DataFrame:
     """(qid, block) whose summed bounds reach the threshold."""
-    sums = blocks.join(small(bound.select("qid", "term_id", "qtf", "qlen")), "term_id").groupBy("qid", "block").agg(F.sum(F.col("qtf") * F.col("bound")).alias("reach"), F.first("qlen").alias("qlen"))
+    sums = blocks.join(hint(bound.select("qid", "term_id", "qtf", "qlen")), "term_id").groupBy("qid", "block").agg(F.sum(F.col("qtf") * F.col("bound")).alias("reach"), F.first("qlen").alias("qlen"))
     own: Column = F.lit(0.0)
     if model.document_part(index.collection) is not None:
         sums = sums.join(bounds.document_bounds(index, model, radix).withColumnRenamed("bound", "own"), "block")
@@ -71,14 +70,9 @@ def surviving_blocks(index: Index, bound: DataFrame, model: RankingModel, blocks
     return sums.join(thresholds, "qid", "left").where(F.coalesce(F.col("reach") + own >= F.col("threshold") - SLACK, F.lit(True))).select("qid", "block")
 
 
-def blockwise(index: Index, bound: DataFrame, model: RankingModel, k: int, radix: int = 3, layout: str = "document", variable: DataFrame | None = None) -> DataFrame:
+def blockwise(index: Index, bound: DataFrame, model: RankingModel, k: int, radix: int = 3, layout: str = "document", variable: DataFrame | None = None, hint=small) -> DataFrame:
     """Scores only documents in ranges whose block bounds reach the threshold; layout: document, posting or variable blocks."""
-    bound = bound.cache()
-    own, _ = bounds.list_bounds(index, model, bound)
-    if layout == "document":
-        blocks = bounds.document_blocks(own, radix)
-    else:
-        blocks = aligned(bounds.posting_blocks(own, radix) if layout == "posting" else variable, radix)
-    alive = surviving_blocks(index, bound, model, blocks, seeds(index, bound, model, k), radix)
-    found = matches(index, bound, model).withColumn("block", F.shiftright("doc_id", radix)).join(alive, ["qid", "block"], "left_semi")
+    blocks = bounds.held_blocks(index, model, radix, layout) if layout != "variable" else bounds.aligned(variable, radix)
+    alive = surviving_blocks(index, bound, model, blocks, seeds(index, bound, model, k, hint), radix, hint)
+    found = matches(index, bound, model, hint).withColumn("block", F.shiftright("doc_id", radix)).join(held(alive), ["qid", "block"], "left_semi")
     return top_k(accumulate(found, model, index), k)

@@ -37,15 +37,18 @@ def with_factors(terms: DataFrame, model: RankingModel, index: Index) -> DataFra
     return terms.select("*", *(e.alias(n) for n, e in model.term_factors(index.collection).items()))
 
 
-def impacts(index: Index, model: RankingModel, terms: DataFrame | None = None) -> DataFrame:
+def impacts(index: Index, model: RankingModel, terms: DataFrame | None = None, hint=small) -> DataFrame:
     """(term_id, doc_id, tf, len, impact) of all postings, or those of the given (term_id, df, cf)."""
     own = with_factors((index.terms if terms is None else terms).select("term_id", "df", "cf").distinct(), model, index)
-    return index.postings.join(own if terms is None else small(own), "term_id").select("term_id", "doc_id", "tf", "len", model.impact(index.collection).alias("impact"))
+    return index.postings.join(own if terms is None else hint(own), "term_id").select("term_id", "doc_id", "tf", "len", model.impact(index.collection).alias("impact"))
 
 
-def matches(index: Index, bound: DataFrame, model: RankingModel) -> DataFrame:
-    """(qid, doc_id, term_id, len, qlen, part): one row per query term and posting."""
-    side = small(with_factors(bound, model, index))
+def matches(index: Index, bound: DataFrame, model: RankingModel, hint=small) -> DataFrame:
+    """(qid, doc_id, term_id, len, qlen, part): one row per query term and posting.
+
+    hint broadcasts the query side if it is small; a caller that knows its size gives its own.
+    """
+    side = hint(with_factors(bound, model, index))
     return index.postings.join(side, "term_id").select("qid", "doc_id", "term_id", "len", "qlen", (F.col("qtf") * model.impact(index.collection)).alias("part"))
 
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quillrank.functions.models import MODELS, RankingModel
 from quillrank.operators import pruning, variable_blocks
 from quillrank.operators.scoring import accumulate, bind_queries, impacts, matches, parse_queries, top_k
-from quillrank.sources.index import Index
+from quillrank.sources.index import BROADCAST_ROWS, Index
 
 STRATEGIES = ("exhaustive", "maxscore", "document_blocks", "posting_blocks", "variable_blocks")
 
@@ -18,10 +19,13 @@ def retrieve(index: Index, queries: DataFrame, model: RankingModel | str = "bm25
     bound = bind_queries(parse_queries(queries), index)
     if strategy == "exhaustive":
         return top_k(accumulate(matches(index, bound, model), model, index), k)
-    if strategy == "maxscore":
-        return pruning.maxscore(index, bound, model, k)
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {', '.join(STRATEGIES)}")
+    # the pruned plans read the query side several times: it is counted once
+    bound = bound.cache()
+    hint = F.broadcast if bound.count() <= BROADCAST_ROWS else lambda df: df
+    if strategy == "maxscore":
+        return pruning.maxscore(index, bound, model, k, hint)
     layout = strategy.removesuffix("_blocks")
-    variable = variable_blocks.variable_blocks(impacts(index, model, bound)) if layout == "variable" else None
-    return pruning.blockwise(index, bound, model, k, radix, layout, variable)
+    variable = variable_blocks.variable_blocks(impacts(index, model, bound, hint)) if layout == "variable" else None
+    return pruning.blockwise(index, bound, model, k, radix, layout, variable, hint)

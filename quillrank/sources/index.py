@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -57,6 +58,19 @@ class Index:
     terms: DataFrame
     docs: DataFrame
     collection: Collection
+    path: str | None = None
+    held: dict[str, DataFrame] = field(default_factory=dict, repr=False)
+
+    def derived(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A table that depends on the index alone, made at its first use and written beside the index."""
+        if name not in self.held:
+            table = make()
+            if self.path:
+                path = f"{self.path}/derived-{uuid.uuid4().hex}"
+                table.write.parquet(path)
+                table = self.spark.read.parquet(path)
+            self.held[name] = table
+        return self.held[name]
 
     @property
     def spark(self) -> SparkSession:
@@ -89,7 +103,7 @@ class Index:
     def load(spark: SparkSession, path: str) -> Index:
         postings, terms, docs = (spark.read.parquet(f"{path}/{n}") for n in ("postings", "terms", "docs"))
         n = docs.agg(F.count(F.lit(1)).alias("ndocs"), F.coalesce(F.sum("len"), F.lit(0)).alias("ntokens")).first()
-        return Index(postings, terms, docs, Collection(n.ndocs, terms.count(), n.ntokens, n.ntokens / n.ndocs if n.ndocs else 0.0))
+        return Index(postings, terms, docs, Collection(n.ndocs, terms.count(), n.ntokens, n.ntokens / n.ndocs if n.ndocs else 0.0), path)
 
     def save(self, path: str) -> None:
         """Copies the tables, the postings sorted by ranges of terms."""

@@ -145,7 +145,7 @@ def test_variable_partition_is_near_the_best():
 def test_essential_lists(spark, crowd):
     index, log = crowd
     bound = bind_queries(parse_queries(log), index)
-    _, limits = bounds.list_bounds(index, MODELS["bm25"], bound)
+    limits = bounds.held_term_bounds(index, MODELS["bm25"])
     top = retrieve(index, log, "bm25", 10)
     split = pruning.split_lists(bound, limits, kth_scores(top, 10)).collect()
     assert all(r.essential == (r.threshold is None or r.upto >= r.threshold - pruning.SLACK) for r in split)
