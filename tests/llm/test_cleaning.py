@@ -64,36 +64,44 @@ def _private_corpus():
     return [(i, x) for i, x in enumerate(plain + told + ["Zanzibar alone", None])]
 
 
-def test_revealing_terms_by_hand(spark):
-    data = _private_corpus()
-    docs = spark.createDataFrame(data, "doc_id long, text string")
-    found = {r.doc_id: r for r in D.find_disclosures(docs).collect()}
+def revealed(data, generalise_at=0.7, remove_at=0.9):
+    """For each row the spans of terms, with whether they go: counts by hand over all rows."""
     n = len(data)
     has, near, holds = defaultdict(set), defaultdict(set), defaultdict(set)
     windows = []
-    for i, x in data:
+    for row, (_, x) in enumerate(data):
         for w in set(re.findall(r"[^\W\d_]+", (x or "").lower())):
-            holds[w].add(i)
-        for a, k, b in base(x or ""):
+            holds[w].add(row)
+        spans = base(x or "")
+        for j, (a, k, b) in enumerate(spans):
             e = (k, x[a:b].lower())
-            has[e].add(i)
-            left = max(0, a - 60)
-            for m in re.finditer(r"[^\W\d_]+", x[left : b + 60]):
+            has[e].add(row)
+            lo = max([0, *(s[2] for s in spans[:j])])
+            hi = min([len(x), b + 60, *(s[0] for s in spans[j + 1 :])])
+            left = max(lo, a - 60)
+            for m in re.finditer(r"[^\W\d_]+", x[left:a] + "\0" * (b - a) + x[b:hi]):
                 s, t = left + m.start(), left + m.end()
-                whole = not (s == left > 0) and not (t == b + 60)
-                if (t <= a or s >= b) and whole and t - s >= 3:
-                    near[e, m[0].lower()].add(i)
-                    windows.append((i, s, t, e, m[0].lower()))
-    want = defaultdict(set)
-    for i, s, t, e, w in windows:
-        both = len(near[e, w])
-        if both >= 2:
-            share = np.log2(both * n / (len(has[e]) * len(holds[w]))) / np.log2(n / len(has[e]))
-            if share >= 0.7:
-                want[i].add((s, 4, t))
-    assert any(want.values())
-    for i, x in data:
-        assert found[i].spans == listed(sorted([*base(x or ""), *want[i]])), i
+                cut = (s == left and left > lo) or (t == hi == b + 60)
+                if not cut and t - s >= 3:
+                    near[e, m[0].lower()].add(row)
+                    windows.append((row, s, t, e, m[0].lower()))
+    want = [{} for _ in data]
+    for row, s, t, e, w in windows:
+        if len(near[e, w]) >= 2 and len(has[e]) < n:
+            share = np.log2(len(near[e, w]) * n / (len(has[e]) * len(holds[w]))) / np.log2(n / len(has[e]))
+            if share >= generalise_at:
+                want[row][s, 4, t] = want[row].get((s, 4, t), False) or share >= remove_at
+    return want
+
+
+def test_revealing_terms_by_hand(spark):
+    data = _private_corpus()
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    found = {r.doc_id: r for r in D.find_disclosures(docs).collect()}
+    want = revealed(data)
+    assert any(want)
+    for (i, x), terms in zip(data, want, strict=True):
+        assert found[i].spans == listed(sorted([*base(x or ""), *terms])), i
     assert "anzibar" not in found[60].sanitised and "<EMAIL>" in found[60].sanitised and "common" in found[60].sanitised
     assert found[66].spans == "" and found[66].sanitised is None
 
