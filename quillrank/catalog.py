@@ -117,6 +117,7 @@ for _model in MODELS:
 QUERIES["topk_bm25_k1000"] = _topk("bm25", "exhaustive", 1000)
 for _model, _strategy in [
     *((m, "maxscore") for m in ("bm25", "f2exp", "lmdir", "pl2", "spl")),
+    *((m, "lazy") for m in ("bm25", "lmdir", "pl2")),
     *((m, "document_blocks") for m in ("bm25", "f2exp", "lmdir", "pl2", "spl")),
     ("bm25", "posting_blocks"),
     ("bm25", "variable_blocks"),
@@ -125,6 +126,13 @@ for _model, _strategy in [
 QUERIES["topk_bm25_k1000_maxscore"] = _topk("bm25", "maxscore", 1000)
 
 
+@_registered
+def weighted_topk(spark, sf_dir):
+    """Every query's terms with a weight: twice the score of longer terms."""
+    weights = scoring.parse_queries(_log(spark, sf_dir)).where("length(term) > 5").select("qid", "term", F.lit(2.0).alias("weight")).distinct()
+    return retrieve(index_of(spark, sf_dir), _log(spark, sf_dir), "bm25", 10, weights=weights)
+
+
 @_registered
 def impact_table(spark, sf_dir):
     index, bound = _bound(spark, sf_dir)
@@ -281,18 +289,21 @@ def posting_moves(spark, sf_dir):
     return elias_fano.moved(index.postings.join(small(bound.select("term_id").distinct()), "term_id", "left_semi"), 3)
 
 
+def _permuted(spark, sf_dir, kind):
+    """All order keys, moved and moved back within 0..largest."""
+    v = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("v")).distinct()
+    p = kind(v.agg(F.max("v")).first()[0] + 1)
+    return v.withColumn("moved", p.apply(F.col("v"))).withColumn("back", p.invert(F.col("moved")))
+
+
 @_registered
 def hash_bucket(spark, sf_dir):
-    p = BucketPermutation(10_000)
-    v = spark.read.parquet(f"{sf_dir}/orders.parquet").select((F.col("o_orderkey") % 10_000).alias("v")).distinct()
-    return v.withColumn("moved", p.apply(F.col("v"))).withColumn("back", p.invert(F.col("moved")))
+    return _permuted(spark, sf_dir, BucketPermutation)
 
 
 @_registered
 def hash_modulo(spark, sf_dir):
-    p = ModularPermutation(1_000_003)
-    v = spark.read.parquet(f"{sf_dir}/orders.parquet").select((F.col("o_orderkey") % 1_000_003).alias("v")).distinct()
-    return v.withColumn("moved", p.apply(F.col("v"))).withColumn("back", p.invert(F.col("moved")))
+    return _permuted(spark, sf_dir, ModularPermutation)
 
 
 ORACLE_SQL: dict[str, str] = {k: v for k, v in oracle.statements().items() if k in QUERIES}

@@ -76,3 +76,19 @@ def blockwise(index: Index, bound: DataFrame, model: RankingModel, k: int, radix
     alive = surviving_blocks(index, bound, model, blocks, seeds(index, bound, model, k, hint), radix, hint)
     found = matches(index, bound, model, hint).withColumn("block", F.shiftright("doc_id", radix)).join(held(alive), ["qid", "block"], "left_semi")
     return top_k(accumulate(found, model, index), k)
+
+
+def lazy(index: Index, bound: DataFrame, model: RankingModel, k: int, radix: int = 3, hint=small) -> DataFrame:
+    """Ranges of documents first, then, inside each range that is left, candidates from its own essential lists only."""
+    blocks = bounds.held_blocks(index, model, radix, "document")
+    thresholds = seeds(index, bound, model, k, hint)
+    alive = held(surviving_blocks(index, bound, model, blocks, thresholds, radix, hint))
+    inside = blocks.join(hint(bound), "term_id").join(alive, ["qid", "block"], "left_semi")
+    order = Window.partitionBy("qid", "block").orderBy(F.col("df").desc(), "term_id").rowsBetween(Window.unboundedPreceding, 0)
+    inside = inside.withColumn("upto", F.sum(F.col("qtf") * F.col("bound")).over(order)).join(thresholds, "qid", "left")
+    reach = F.col("upto") + F.col("qlen") * F.lit(own_bound(index, model))
+    essential = inside.where(F.coalesce(reach >= F.col("threshold") - SLACK, F.lit(True))).select("qid", "block", "term_id")
+    found = matches(index, bound, model, hint)
+    block = F.shiftright("doc_id", radix).alias("block")
+    candidates = found.select("qid", "doc_id", "term_id", block).join(held(essential), ["qid", "block", "term_id"], "left_semi").select("qid", "doc_id").distinct()
+    return top_k(accumulate(found.join(held(candidates), ["qid", "doc_id"], "left_semi"), model, index), k)

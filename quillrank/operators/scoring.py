@@ -25,9 +25,14 @@ def weigh_queries(parsed: DataFrame) -> DataFrame:
     return per_term.withColumn("qlen", F.sum("qtf").over(Window.partitionBy("qid")))  # a query's own terms
 
 
-def bind_queries(parsed: DataFrame, index: Index) -> DataFrame:
-    """(qid, term_id, df, cf, qtf, qlen) of the known terms; unknown ones drop out."""
+def bind_queries(parsed: DataFrame, index: Index, weights: DataFrame | None = None) -> DataFrame:
+    """(qid, term_id, df, cf, qtf, qlen) of the known terms; unknown ones drop out.
+
+    weights(qid, term, weight): a term's part of the score is multiplied by its weight, by 1 without one.  Weights must not be negative.
+    """
     weighed = weigh_queries(parsed)
+    if weights is not None:
+        weighed = weighed.join(weights, ["qid", "term"], "left").withColumn("qtf", F.col("qtf") * F.coalesce("weight", F.lit(1.0))).drop("weight")
     vocabulary = weighed.select("term").distinct()
     known = index.terms.join(small(vocabulary), "term", "left_semi")
     return weighed.join(known, "term").select("qid", "term_id", "df", "cf", "qtf", "qlen")

@@ -64,10 +64,12 @@ _BM25 = f"WITH {BASE}, {_scores('bm25')}, {_THRESHOLDS}"
 def statements() -> dict[str, str]:
     out = {f"topk_{m}": _top(m, 10) for m in IMPACT}
     for m in IMPACT:
-        for s in ("maxscore", "document_blocks", "posting_blocks", "variable_blocks"):
+        for s in ("maxscore", "lazy", "document_blocks", "posting_blocks", "variable_blocks"):
             out[f"topk_{m}_{s}"] = out[f"topk_{m}"]
     out["topk_bm25_k1000"] = out["topk_bm25_k1000_maxscore"] = _top("bm25", 1000)
     out["negated_query_hits"] = out["stream_topk_bm25"] = out["topk_bm25"]
+    weighted = _top("bm25", 10).replace("q.qtf *", "q.qtf * CASE WHEN length(p.term) > 5 THEN 2.0 ELSE 1.0 END *")
+    out["weighted_topk"] = weighted
     base = f"WITH {BASE} "
     out["postings"] = base + "SELECT term_id, term, doc_id, tf FROM post"
     out["term_stats"] = base + "SELECT term_id, term, df, cf FROM terms"
@@ -126,7 +128,7 @@ def statements() -> dict[str, str]:
     out["posting_moves"] = base + """SELECT term_id, doc_id, lead(doc_id, 3) OVER w AS skipped, lag(doc_id) OVER w AS previous,
         nth_value(doc_id, 3) OVER (PARTITION BY term_id ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS jumped
         FROM post WHERE term_id IN (SELECT term_id FROM q) WINDOW w AS (PARTITION BY term_id ORDER BY doc_id)"""
-    out["hash_bucket"] = """WITH v AS (SELECT DISTINCT o_orderkey % 10000 AS v FROM orders)
-        SELECT v, CASE WHEN v >= 9984 THEN v ELSE v // 128 + (v % 128) * 78 END AS moved, v AS back FROM v"""
-    out["hash_modulo"] = "WITH v AS (SELECT DISTINCT o_orderkey % 1000003 AS v FROM orders) SELECT v, (v * 7919) % 1000003 AS moved, v AS back FROM v"
+    keys = "WITH n AS (SELECT max(o_orderkey) + 1 AS n FROM orders), v AS (SELECT DISTINCT o_orderkey AS v, n FROM orders, n)"
+    out["hash_bucket"] = f"{keys} SELECT v, CASE WHEN v >= n // 128 * 128 THEN v ELSE v // 128 + (v % 128) * (n // 128) END AS moved, v AS back FROM v"
+    out["hash_modulo"] = f"{keys} SELECT v, (v * 7919) % n AS moved, v AS back FROM v"
     return out

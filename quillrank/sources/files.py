@@ -49,11 +49,11 @@ def write_run(top: DataFrame, path: str, tag: str, doc: str = "doc_id") -> None:
     run_lines(ordered, tag, doc).write.mode("overwrite").text(path)
 
 
-def read_inverted(spark: SparkSession, docs_path: str, freqs_path: str) -> tuple[DataFrame, int]:
-    """((term_id, doc_id, tf), number of documents) of a pair of streams of unsigned 32-bit integers.
+def postings_of_streams(docs: DataFrame, freqs: DataFrame) -> tuple[DataFrame, int]:
+    """((term_id, doc_id, tf), number of documents) of a pair of streams of unsigned 32-bit integers, each the one row of a `content`.
 
     The docs stream begins with (1, ndocs); then both give for every term its number of postings and that many values.
-    The streams have no index, so one task walks each; the postings leave it in batches.
+    The streams have no index, so one task walks each; the postings leave it list by list.
     """
 
     def lists(raw: bytes, skip: int):
@@ -72,15 +72,47 @@ def read_inverted(spark: SparkSession, docs_path: str, freqs_path: str) -> tuple
 
         return run
 
-    def stream(path: str, skip: int, name: str) -> DataFrame:
-        return spark.read.format("binaryFile").load(path).select("content").mapInPandas(walk(skip, name), f"term_id int, place long, {name} long")
-
-    head = spark.read.format("binaryFile").load(docs_path).select(F.substring("content", 1, 8).alias("head")).first()["head"]
-    one, ndocs = np.frombuffer(bytes(head), "<u4").tolist()
+    one, ndocs = np.frombuffer(bytes(docs.select(F.substring("content", 1, 8)).first()[0]), "<u4").tolist()
     if one != 1:
-        raise ValueError(f"{docs_path}: the stream does not begin with 1 and the number of documents")
-    joined = stream(docs_path, 2, "doc_id").join(stream(freqs_path, 0, "tf"), ["term_id", "place"])
-    return joined.select("term_id", "doc_id", "tf"), ndocs
+        raise ValueError("the stream of documents does not begin with 1 and their number")
+    ids = docs.mapInPandas(walk(2, "doc_id"), "term_id int, place long, doc_id long")
+    counts = freqs.mapInPandas(walk(0, "tf"), "term_id int, place long, tf long")
+    return ids.join(counts, ["term_id", "place"]).select("term_id", "doc_id", "tf"), ndocs
+
+
+def read_inverted(spark: SparkSession, docs_path: str, freqs_path: str) -> tuple[DataFrame, int]:
+    """postings_of_streams of two files."""
+    stream = lambda path: spark.read.format("binaryFile").load(path).select("content")
+    return postings_of_streams(stream(docs_path), stream(freqs_path))
+
+
+def read_edges(spark: SparkSession, path: str) -> DataFrame:
+    """(term_id, doc_id, tf) of files of packed triples (term, document, weight) of unsigned 32-bit integers."""
+
+    def run(batches):
+        for rows in batches:
+            for raw in rows["content"]:
+                a = np.frombuffer(raw, "<u4").reshape(-1, 3).astype(np.int64)
+                yield pd.DataFrame({"term_id": a[:, 0].astype(np.int32), "doc_id": a[:, 1], "tf": a[:, 2]})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "term_id int, doc_id long, tf long")
+
+
+def edge_shards(spark: SparkSession, folder: str, rank: int = 0, ranks: int = 1) -> DataFrame:
+    """(shard, triples) of the files <shard>.edges.bin that a rank owns: every ranks-th from its own number on; contents are not read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.edges.bin").load(folder).select("path", "length")
+    shard = F.regexp_extract("path", r"([0-9]+)\.edges\.bin$", 1).cast("int")
+    return files.select(shard.alias("shard"), F.floor(F.col("length") / 12).alias("triples")).where((F.col("shard") >= rank) & ((F.col("shard") - rank) % ranks == 0))
+
+
+def triples_bound(shards: DataFrame, terms: int, ndocs: int) -> int:
+    """No more triples than the shards hold, or than every needed term in every document."""
+    return min(shards.agg(F.coalesce(F.sum("triples"), F.lit(0))).first()[0], terms * ndocs)
+
+
+def write_lexicon(terms: DataFrame, path: str) -> None:
+    """The terms as lines, in order of their ids."""
+    terms.repartitionByRange("term_id").sortWithinPartitions("term_id").select("term").write.mode("overwrite").text(path)
 
 
 def inverted_streams(lists: list[tuple[list[int], list[int]]], ndocs: int) -> tuple[bytes, bytes]:

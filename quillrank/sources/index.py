@@ -90,14 +90,37 @@ class Index:
         found = spark.read.parquet(raw)
         terms = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
         with_dense_ids(terms, "term", "term_id", f"{path}/ranges").select("term_id", "term", "df", "cf").write.mode("overwrite").parquet(f"{path}/terms")
-        sizes = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("degree"), F.sum("tf").alias("len"))
         label = F.col(label_col) if label_col else F.lit(None)
-        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), label.cast("string").alias("label")).join(sizes, "doc_id", "left")
+        Index._write_docs(docs.select(F.col(id_col).cast("long").alias("doc_id"), label.cast("string").alias("label")), found, path)
+        Index._write_postings(found.join(spark.read.parquet(f"{path}/terms").select("term", "term_id"), "term"), path)
+        return Index.load(spark, path)
+
+    @staticmethod
+    def from_postings(postings: DataFrame, ndocs: int, lexicon: DataFrame, labels: DataFrame | None, path: str) -> Index:
+        """An index of ready postings(term_id, doc_id, tf) over documents 0..ndocs-1, with lexicon(term_id, term) and labels(doc_id, label).
+
+        Statistics count all postings; terms that the lexicon lacks cannot be asked for and get no list.
+        """
+        spark = postings.sparkSession
+        terms = postings.groupBy("term_id").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").cast("long").alias("cf"))
+        terms.join(lexicon, "term_id").select(F.col("term_id").cast("int").alias("term_id"), "term", "df", "cf").write.mode("overwrite").parquet(f"{path}/terms")
+        docs = spark.range(ndocs).select(F.col("id").alias("doc_id"))
+        docs = docs.join(labels.select("doc_id", "label"), "doc_id", "left") if labels is not None else docs.withColumn("label", F.lit(None).cast("string"))
+        Index._write_docs(docs, postings, path)
+        Index._write_postings(postings.join(spark.read.parquet(f"{path}/terms").select("term_id"), "term_id", "left_semi"), path)
+        return Index.load(spark, path)
+
+    @staticmethod
+    def _write_docs(docs: DataFrame, found: DataFrame, path: str) -> None:
+        sizes = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("degree"), F.sum("tf").cast("long").alias("len"))
+        rows = docs.join(sizes, "doc_id", "left")
         rows.select("doc_id", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("len", F.lit(0)).alias("len"), "label").write.mode("overwrite").parquet(f"{path}/docs")
-        ids, lens = spark.read.parquet(f"{path}/terms").select("term", "term_id"), spark.read.parquet(f"{path}/docs").select("doc_id", F.col("len").cast("int").alias("len"))
-        posted = found.join(ids, "term").join(lens, "doc_id").select("term_id", "doc_id", "tf", "len")
+
+    @staticmethod
+    def _write_postings(found: DataFrame, path: str) -> None:
+        lens = found.sparkSession.read.parquet(f"{path}/docs").select("doc_id", F.col("len").cast("int").alias("len"))
+        posted = found.join(lens, "doc_id").select(F.col("term_id").cast("int").alias("term_id"), "doc_id", F.col("tf").cast("long").alias("tf"), "len")
         posted.repartitionByRange("term_id").sortWithinPartitions("term_id", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-        return Index.load(spark, path)
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Index:

@@ -95,6 +95,27 @@ def test_inverted_streams(spark, tmp_path):
     assert ndocs == 4 and sorted(map(tuple, found.collect())) == [(t, d, f) for t, (ds, fs) in enumerate(lists) for d, f in zip(ds, fs, strict=True)]
 
 
+def test_index_of_binary_files(spark, tmp_path):
+    triples = np.array([[0, 0, 2], [0, 3, 1], [2, 1, 5]], "<u4")
+    (tmp_path / "e").mkdir()
+    (tmp_path / "e" / "0.edges.bin").write_bytes(triples[:2].tobytes())
+    (tmp_path / "e" / "1.edges.bin").write_bytes(triples[2:].tobytes())
+    found = files.read_edges(spark, str(tmp_path / "e"))
+    assert sorted(map(tuple, found.collect())) == [tuple(x) for x in triples.tolist()]
+    shards = files.edge_shards(spark, str(tmp_path / "e"), 1, 2)
+    assert [tuple(r) for r in shards.collect()] == [(1, 1)] and files.triples_bound(files.edge_shards(spark, str(tmp_path / "e")), 1, 2) == 2
+    lexicon = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "term_id int, term string")
+    labels = spark.createDataFrame([(0, "x")], "doc_id long, label string")
+    index = Index.from_postings(found, 5, lexicon, labels, str(tmp_path / "i"))
+    c = index.collection
+    assert (c.ndocs, c.nterms, c.ntokens) == (5, 2, 8)
+    assert sorted((r.doc_id, r.len, r.label) for r in index.docs.collect()) == [(0, 2, "x"), (1, 5, None), (2, 0, None), (3, 1, None), (4, 0, None)]
+    top = retrieve(index, spark.createDataFrame([(1, "a c")], "qid long, text string"), "tfidf", 5)
+    assert {r.doc_id for r in top.collect()} == {0, 1, 3}
+    files.write_lexicon(index.terms, str(tmp_path / "lexicon"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "lexicon")).collect()] == ["a", "c"]
+
+
 def test_save_load_run_and_stream(spark, tmp_path):
     docs = spark.createDataFrame([(0, "a b", "x"), (1, "b c", "y")], "doc_id long, text string, source string")
     index = Index.build(docs, str(tmp_path / "i"))
