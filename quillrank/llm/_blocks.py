@@ -10,6 +10,7 @@ answers cost bits, not keys.
 
 from __future__ import annotations
 
+import ctypes
 import math
 import uuid
 
@@ -46,6 +47,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy() -> None:
+    """Gives memory that numpy and Arrow have freed back to the system: workers stay between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 # ---------------------------------------------------------------- blocks
 def text_bytes(df: DataFrame, text: str) -> int:
     return df.agg(F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0))).first()[0]

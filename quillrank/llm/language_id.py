@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._blocks import tidy
+
 UNKNOWN = "und"
 _K = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint32)
 
@@ -116,6 +118,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
             n += len(texts)
             for a, b in _pieces(texts):
                 total += (feature_counts(texts[a:b], bits) > 0).sum(axis=0)
+        tidy()
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(total[at], n), pa.int64())], ["feature", "n"])
 
@@ -181,6 +184,7 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", label
         for batch in batches:
             a, b = model.predict(batch.column(names.index(text_col)).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(a, pa.string()), pa.array(b, pa.float64())], [*names, label, score])
+        tidy()
 
     return docs.mapInArrow(run, f"{schema}, `{label}` string, `{score}` double")
 

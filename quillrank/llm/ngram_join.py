@@ -115,9 +115,11 @@ def jaccard_components(
     dealt = B.dealt(docs, id_col, text_col, blocks)
 
     def census(key, table):
+        B.tidy()
         return B.sketch_rows(key[0].as_py(), shingle_sets(B.Texts(table), width)[1], bits, 1, slices, 1 << 40)
 
     def sets(key, table, got):
+        B.tidy()
         t = B.Texts(table)
         d, h = shingle_sets(t, width)
         df = B.estimates(h, bits, 1, got)

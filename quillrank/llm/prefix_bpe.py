@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._blocks import tidy
+
 SPACE = "▁"
 INF = float("inf")
 
@@ -32,7 +34,7 @@ INF = float("inf")
 class Remembered(dict):
     """compute(key), remembered for the last `most` to 2 * `most` distinct short keys."""
 
-    def __init__(self, compute, most: int = 400_000, longest: int = 48):
+    def __init__(self, compute, most: int = 120_000, longest: int = 48):
         super().__init__()
         self.compute, self.most, self.longest, self.old = compute, most, longest, {}
 
@@ -94,7 +96,7 @@ class PrefixEncoder:
             for k in range(1, len(p)):
                 a, b = self.ids.get(p[:k]), self.ids.get(p[k:])
                 if a is not None and b is not None:
-                    self.joined[a, b] = self.score[i]
+                    self.joined[a << 20 | b] = self.score[i]
         self.fits: dict = {}
         self.table = [self._bytes(i, i in special) for i in range(n)]
         self.words = Remembered(self._word)
@@ -139,28 +141,28 @@ class PrefixEncoder:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether a and b stay apart when their texts stand together."""
-        key = (a, b)
+        key = a << 20 | b
         found = self.fits.get(key)
         if found is None:
-            if len(self.fits) > 1_000_000:
+            if len(self.fits) > 400_000:
                 self.fits.clear()
             found = self.fits[key] = self._compatible(a, b)
         return found
 
     def _compatible(self, x: int, y: int) -> bool:
         joined, left, right, score = self.joined, self.left, self.right, self.score
-        if (x, y) in joined:
+        if (x << 20 | y) in joined:
             return False
         while True:
             sx = score[x] if right[x] >= 0 else INF
             sy = score[y] if left[y] >= 0 else INF
             if sx < sy:
                 x = right[x]
-                if joined.get((x, y), -INF) > sx:
+                if joined.get(x << 20 | y, -INF) > sx:
                     return False
             elif sy < INF:  # of equals the left one is merged first, so the right one is the later
                 y = left[y]
-                if joined.get((x, y), -INF) >= sy:
+                if joined.get(x << 20 | y, -INF) >= sy:
                     return False
             else:
                 return True
@@ -179,7 +181,7 @@ class PrefixEncoder:
                     if p is None:
                         last[end] = i
                     else:
-                        ok = fits.get((p, i))
+                        ok = fits.get(p << 20 | i)
                         if ok or ok is None and compatible(p, i):
                             last[end] = i
         out, at = [], len(span) - 1
@@ -248,6 +250,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
                 [batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), *map(pa.array, sha), pa.array(ids if with_ids else [None] * len(ids), pa.binary()), pa.array(back if with_ids else [None] * len(ids), pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"],
             )
+        tidy()
 
     out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary, decoded string")
     return out if with_ids else out.drop("ids", "decoded")
