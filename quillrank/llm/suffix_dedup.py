@@ -10,8 +10,8 @@ the suffixes that start at such grams: *anchors*, about 2 in (length - gram + 2)
 3. A slice combines its runs with a loser tree that carries, for every waiting suffix, the prefix length it is known to
    share with the last winner: unequal lengths decide without a look at the text, equal ones compare from there on.
    The merged order and its common prefixes give, for each of the places an anchor can have in a string, the classes
-   of equal right sides; with equal left sides they are equal strings.  The answer to each entry is a bit for each place
-   at which an earlier document holds the string.
+   of equal right sides; with equal left sides they are equal strings.  The answer to each entry is the first and the last of
+   its places at which an earlier document holds the string: strings in between overlap both.
 4. Blocks mark the bytes that those strings cover.
 
 Only bytes are compared; the results are exact but for the left sides, which are compared by 64-bit hash within
@@ -52,28 +52,26 @@ def _anchors(t: B.Texts, length: int, gram: int) -> tuple[np.ndarray, np.ndarray
     """(place, document, gram hash) of grams that are the smallest of some string of `length` bytes."""
     if t.size < length:
         return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
-    at, n = B.loads(t.data), t.size - gram + 1
-    h = np.zeros(n, np.uint64)
-    for j in range(0, gram - 7, 8):
-        h = (h ^ at[j : j + n]) * B._M3
-        h ^= h >> B.U(32)
-    h = B.mix(h)
-    key = (h >> B.U(32)).astype(np.uint32)
+    n = t.size - gram + 1
+    key = (_gram_hashes(t, slice(0, n), gram) >> B.U(33)).astype(np.int32)
     least = _slide(key, length - gram + 1, np.minimum)
-    # a string that crosses documents must not choose: its minimum may only win against no key
-    ends = t.off[1:-1]
+    # a string that crosses documents chooses none
     crossing = np.zeros(least.size + 1, np.int32)
-    a = np.clip(ends - length + 1, 0, least.size)
-    b = np.clip(ends, 0, least.size)
-    np.add.at(crossing, a, 1)
-    np.add.at(crossing, b, -1)
-    crossing = np.cumsum(crossing[:-1]) > 0
-    least = least.astype(np.int64)
-    least[crossing] = -1
-    pad = np.full(length - gram, -1, np.int64)
+    np.add.at(crossing, np.clip(t.off[1:-1] - length + 1, 0, least.size), 1)
+    np.add.at(crossing, np.clip(t.off[1:-1], 0, least.size), -1)
+    least[np.cumsum(crossing[:-1], dtype=np.int32) > 0] = -1
+    pad = np.full(length - gram, -1, np.int32)
     best = _slide(np.concatenate([pad, least, pad]), length - gram + 1, np.maximum)
     place = np.flatnonzero(best[:n] == key)
-    return place, np.searchsorted(t.off, place, side="right") - 1, h[place]
+    return place, np.searchsorted(t.off, place, side="right") - 1, _gram_hashes(t, place, gram)
+
+
+def _gram_hashes(t: B.Texts, where, gram: int) -> np.ndarray:
+    at, h = B.loads(t.data), B.U(0)
+    for j in range(0, gram - 7, 8):
+        h = (at[j:][where] ^ h) * B._M3
+        h ^= h >> B.U(32)
+    return B.mix(h)
 
 
 class _Candidates:
@@ -92,7 +90,8 @@ class _Candidates:
         span[(column < reach - self.left[:, None].astype(np.int64)) | (column >= reach + self.right[:, None].astype(np.int64))] = 0
         self.ids = t.ids[doc]
         # slices by the gram, then suffixes in order, then left sides: equal contexts stand together
-        self.slice = ((h >> B.U(32)) * B.U(slices)) >> B.U(32)
+        # (mixed again: anchors are the grams with small hashes)
+        self.slice = ((B.mix(h, B._M3, B._M4) >> B.U(32)) * B.U(slices)) >> B.U(32)
         wide = np.zeros((span.shape[0], (length + 7) // 8 * 8), np.uint8)
         wide[:, :length] = span[:, reach:]
         suffix = wide.view(">u8").astype(np.uint64)
@@ -204,7 +203,7 @@ def merge_runs(runs: list[list[bytes]], length: int) -> tuple[list[int], list[in
 
 
 def _places(length: int, gram: int):
-    """For groupBy(slice): merges the runs, answers each entry with a bit for each place of the anchor in a repeated string."""
+    """For groupBy(slice): merges the runs, answers each entry with 64 * (last place + 1) + first place of the anchor in repeated strings; 63 if in none."""
     reach = length - gram
 
     def merge(table: pa.Table) -> pa.Table:
@@ -222,7 +221,8 @@ def _places(length: int, gram: int):
         room = np.concatenate([B.unzip_bytes(x["room"]).reshape(2, -1) for x in rows], axis=1)[:, place]
         lefts = np.concatenate([B.unzip_bytes(x["lefts"]).reshape(reach, -1) for x in rows], axis=1)[:, place]
         doc = np.concatenate([B.unpack(x["doc"]).astype(np.int64) for x in rows])[place]
-        bits, side = np.zeros(run.size, np.uint64), np.zeros(run.size, np.uint64)
+        low, high = np.full(run.size, 63, np.uint64), np.zeros(run.size, np.uint64)
+        side = np.zeros(run.size, np.uint64)
         for o in range(reach + 1):  # the string starts o bytes left of the anchor
             if o:
                 side = side * B.ROWS[1] + lefts[reach - o] + B.U(1)
@@ -236,19 +236,20 @@ def _places(length: int, gram: int):
             new = np.append(True, v[1:] != v[:-1])
             least = np.minimum.reduceat(doc[k][by], np.flatnonzero(new))[np.cumsum(new) - 1]
             hit = k[by[least < doc[k][by]]]
-            bits[hit] |= B.U(1 << o)
+            low[hit] = np.minimum(low[hit], B.U(o))
+            high[hit] = B.U(o + 1)
         back = np.empty(run.size, np.uint64)
-        back[place] = bits
+        back[place] = high * B.U(64) + low
         cut = np.split(back, np.cumsum(sizes)[:-1])
         return pa.table([[x["block"] for x in rows], [EXACT] * len(rows), [x["slice"] for x in rows], [B.pack(c) for c in cut]], B._ANSWERS)
 
     return merge
 
 
-def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, gram: int = 16, block_bytes: int = 4 << 20, depth: int = 2, with_text: bool = True) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, gram: int = 16, block_bytes: int = 2 << 20, depth: int = 2, with_text: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with_text, the remaining bytes."""
-    if not (8 <= gram < length <= 200 and gram % 8 == 0 and length - gram < 64):
-        raise ValueError("gram must be a multiple of 8, at most 63 below length; length at most 200")
+    if not (8 <= gram < length <= 200 and gram % 8 == 0 and length - gram < 50):
+        raise ValueError("gram must be a multiple of 8, at most 49 below length; length at most 200")
     reach = length - gram
     total = B.text_bytes(docs, text_col)
     blocks, anchors = B.n_blocks(total, block_bytes), max(1, 2 * total // (reach + 2))
@@ -257,7 +258,7 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     def sketch(key, table):
         _, doc, h = _anchors(t := B.Texts(table), length, gram)
-        # a gram counts once for a document; the sum of two hashes that depend on the pair tells pairs apart
+        # a gram counts once for a document
         pair = B.mix(h ^ B.mix(t.ids[doc].astype(np.uint64) * B.ROWS[1]))
         _, one = np.unique(pair, return_index=True)
         return B.sketch_rows(key[0].as_py(), h[one], bits, depth, slices, 2)
@@ -268,26 +269,25 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     def remove(key, table, got):
         t = B.Texts(table)
         c = _Candidates(t, length, gram, bits, depth, slices, got)
-        parts = sorted((s, a) for k, s, a in zip(got["kind"].to_pylist(), got["slice"].to_pylist(), got["answer"].to_pylist(), strict=True) if k == EXACT)
-        bit = np.concatenate([B.unpack(a) for _, a in parts]) if parts else np.zeros(0, np.uint64)
+        bit = B.answers(got, EXACT)
         cover = np.zeros(t.size + 1, np.int32)
         if c.order.size:
-            place, g = c.place[c.order], c.group
-            later = c.ids[c.order] > c.least[g]  # an earlier document of this block has the whole context
-            own = bit[g]
-            for o in range(reach + 1):
-                fits = (c.left[c.order] >= o) & (c.right[c.order] >= length - o)
-                a = place[fits & (later | ((own >> B.U(o)) & B.U(1)).astype(bool))] - o
-                np.add.at(cover, a, 1)
-                np.add.at(cover, a + length, -1)
+            place, left, right = c.place[c.order], c.left[c.order].astype(np.int64), c.right[c.order].astype(np.int64)
+            low, high = (x[c.group].astype(np.int64) for x in np.divmod(bit, 64)[::-1])
+            later = c.ids[c.order] > c.least[c.group]  # an earlier document of this block has the whole context
+            low = np.where(later, np.minimum(low, length - right), low)
+            high = np.where(later, np.maximum(high, left + 1), high)
+            hit = low < high  # strings that start high - 1 to low bytes left of the anchor: each meets the next
+            np.add.at(cover, place[hit] - high[hit] + 1, 1)
+            np.add.at(cover, place[hit] - low[hit] + length, -1)
         gone = np.cumsum(cover[:-1]) > 0
         return _kept(t, gone, with_text)
 
     cells = dealt.groupBy("block").applyInArrow(sketch, B.CELLS)
     counts = cells.groupBy("slice").applyInArrow(B.merge_sketches(2), B.ANSWERS)
     runs = dealt.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(suffixes, RUNS)
-    bits_back = runs.groupBy("slice").applyInArrow(_places(length, gram), B.ANSWERS)
-    out = dealt.groupBy("block").cogroup(counts.unionByName(bits_back).groupBy("block")).applyInArrow(remove, SCHEMA)
+    places = runs.groupBy("slice").applyInArrow(_places(length, gram), B.ANSWERS)
+    out = dealt.groupBy("block").cogroup(counts.unionByName(places).groupBy("block")).applyInArrow(remove, SCHEMA)
     return out if with_text else out.drop("kept")
 
 
