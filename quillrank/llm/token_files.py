@@ -9,10 +9,9 @@ Documents are dealt by ranges of ids, so files and the documents in them are in
 first, rows that share one in the order of their texts' hash).  A file is written under a name of its task's own and
 renamed when it is whole: a task that is run again replaces its file by an equal one.
 
-Words between single spaces are encoded apart, as the byte-level pre-tokenizer cuts there, and remembered.  New words
-go to the tokenizers library; those of Latin characters (below U+0250), to a quicker merger that is built from the loaded
-tokenizer's own merges and pre-tokenizer pattern (no other vocabulary; tests hold both against each other).  Texts with
-other white space beside a space are encoded whole by the library.
+Texts go to the tokenizers library.  Where the loaded tokenizer is a plain byte-level one, texts of Latin characters
+(below U+0250) without special tokens go to a quicker merger that is built from the loaded tokenizer's own merges and
+pre-tokenizer pattern (no other vocabulary); tests hold both against each other, character by character.
 
 Nulls: a null text is empty, its document has the end id only.  An empty table makes no files and no rows.
 """
@@ -21,11 +20,11 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
 from functools import lru_cache
-from itertools import filterfalse, islice
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +41,7 @@ SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEK_FOOTER = 0x184D2A50, 0x184D2A5E, 0x8F92EAB
 FRAME_BYTES = 1 << 18
 #: Fixed pattern of the byte-level pre-tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+OTHER = re.compile("[^\x00-\u024f]")
 
 
 def _filesystem(path: str):
@@ -140,34 +140,28 @@ class TokenFile:
         return out
 
 
-class WordEncoder:
-    """A tokenizer of the tokenizers library, with remembered words."""
+class TextEncoder:
+    """A tokenizer of the tokenizers library, with a quicker way for plain texts."""
 
-    def __init__(self, path: str, most: int = 400_000, longest: int = 48):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words, self.old, self.most, self.longest = {}, {}, most, longest
-        # a character of a byte-level piece stands for one byte
-        pieces = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.width = np.zeros(max(pieces.values()) + 1, np.int64)
-        self.width[list(pieces.values())] = [len(p) for p in pieces]
-        self.quick = self._merger(json.loads(self.tokenizer.to_str()), pieces)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.marks = dict(zip(".,;:!?", self.plain(list(".,;:!?")), strict=True))
+        self.quick = self._merger(json.loads(self.tokenizer.to_str()), self.tokenizer.get_vocab(with_added_tokens=True))
 
     def _merger(self, whole: dict, pieces: dict[str, int]):
-        """A quick merger with this tokenizer's own merges, for words of Latin characters.
+        """A merger with this tokenizer's own merges.
 
         Only where the tokenizer is a plain byte-level one and its ids follow the order of its merges, as ranks have to;
-        else none, and the library encodes all words.
+        else none, and the library encodes all texts.
         """
+        import tiktoken
+
         model, pre = whole["model"], whole["pre_tokenizer"] or {}
         if whole["normalizer"] or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
             return None
-        import tiktoken
-
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256 on
         hidden = [c for c in range(256) if c not in shown]
         byte = {chr(c): c for c in shown} | {chr(256 + i): c for i, c in enumerate(hidden)}
@@ -177,72 +171,18 @@ class WordEncoder:
             return None
         made = set(merges)
         ranks = {bytes(byte[c] for c in p): i for p, i in pieces.items() if all(c in byte for c in p) and (len(p) == 1 or i in made)}
-        return tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-    def apart(self, words: list[str], latin: bool) -> list[bytes]:
-        """Ids of " word" for each word, many at a time and cut at the words' ends; latin: no other characters, no special token."""
-        if not words:
-            return []
-        text = " " + " ".join(words)
-        ids = np.array(self.quick.encode_ordinary(text) if latin and self.quick else self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.cumsum([len(w) + 1 if w.isascii() else len(w.encode()) + 1 for w in words])
-        at = np.cumsum(self.width[ids])
-        cut = np.searchsorted(at, ends, side="left") + 1
-        if at[-1] != ends[-1] or (at[cut - 1] != ends).any():
-            return self.plain([" " + w for w in words])
-        raw, cut = ids.tobytes(), (4 * cut).tolist()
-        return [raw[a:b] for a, b in zip([0, *cut[:-1]], cut, strict=True)]
-
-    def plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, as encoding it whole gives them."""
-        cut = [x.split(" ") for x in texts]
-        words, old = self.words, self.old
-        own, missing = {}, set()
-        for parts in cut:
-            missing.update(filterfalse(words.__contains__, islice(parts, 1, None)))
-        simple, ending, other, mixed = set(), [], [], []
-        for w in missing:
-            if w in old:
-                words[w] = old[w]
-            elif len(w) > self.longest or not w or max(w) >= "\u0250" or w[0].isspace() or w[-1].isspace() or any(x in w for x in self.special):
-                other.append(w)
-            elif w.isalpha():
-                simple.add(w)
-            elif w[-1] in self.marks and w[:-1].isalpha():
-                ending.append(w)
-                if w[:-1] not in words:
-                    simple.add(w[:-1])
-            else:
-                mixed.append(w)
-        todo = [*simple, *mixed]
-        words.update(zip(todo, self.apart(todo, True), strict=True))
-        for w in ending:
-            words[w] = words[w[:-1]] + self.marks[w[-1]]
-        good = [w for w in other if w and not w[0].isspace() and not w[-1].isspace()]
-        found = dict(zip(good, self.apart(good, False), strict=True))
-        for w in other:
-            (words if len(w) <= self.longest else own)[w] = found.get(w)
-        first = self.plain([p[0] for p in cut])
-        out: list = []
-        for text, parts, head in zip(texts, cut, first, strict=True):
-            rest = islice(parts, 1, None)
-            try:
-                if len(parts) > 1 and (not parts[0] or parts[0][-1].isspace()):
-                    raise TypeError
-                out.append(b"".join([head, *((words[w] if w in words else own[w] for w in rest) if own else map(words.__getitem__, rest))]))
-            except TypeError:  # a None: white space that is not one space between words
-                out.append(self.plain([text])[0])
-        if len(words) > self.most:
-            self.old, self.words = words, {}
-        return out
+        return tiktoken.Encoding("own merges", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> bytes:
+        """The text's ids as little-endian unsigned 32-bit integers."""
+        if self.quick and (text.isascii() or not OTHER.search(text)) and not any(x in text for x in self.special):
+            return self.quick.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 @lru_cache(maxsize=2)
-def word_encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def text_encoder(path: str) -> TextEncoder:
+    return TextEncoder(path)
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, file_bytes: int = 16 << 20, frame_bytes: int = FRAME_BYTES) -> DataFrame:
@@ -257,14 +197,14 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None =
     rows = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def write(batches):
-        enc, part, out = word_encoder(tokenizer_path), TaskContext.get().partitionId(), None
+        enc, part, out = text_encoder(tokenizer_path), TaskContext.get().partitionId(), None
         path = f"{folder}/part-{part:06d}.zst"
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                some = batch.slice(a, 256)
+            for a in range(0, batch.num_rows, 1000):
+                some = batch.slice(a, 1000)
                 out = out or TokenFileWriter(path, frame_bytes)
-                for i, ids in zip(some.column("doc_id").to_pylist(), enc.encode([x or "" for x in some.column("text").to_pylist()]), strict=True):
-                    out.add(i, ids + end)
+                for i, text in zip(some.column("doc_id").to_pylist(), some.column("text").to_pylist(), strict=True):
+                    out.add(i, enc.encode(text or "") + end)
         if out:
             out.close()
             yield pa.RecordBatch.from_pydict({"path": [path], "part": [part], "n_docs": [len(out.ids)], "n_tokens": [out.tokens]})

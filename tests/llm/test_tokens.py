@@ -15,7 +15,7 @@ import zstandard
 from tokenizers import Tokenizer
 
 from quillrank.llm.prefix_bpe import encode_documents, encoder
-from quillrank.llm.token_files import TokenFile, TokenFileWriter, read_token_files, word_encoder, write_token_files
+from quillrank.llm.token_files import TokenFile, TokenFileWriter, read_token_files, text_encoder, write_token_files
 
 PIECES, BYTES = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.json")
 
@@ -64,12 +64,17 @@ def test_encoded_documents(spark):
     assert encode_documents(fx.frame(spark, []), PIECES).count() == 0
 
 
-def test_word_encoding_is_the_library_s():
-    library, own, texts = Tokenizer.from_file(BYTES), word_encoder(BYTES), odd_texts()
-    for a in range(0, len(texts), 64):
-        got = [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts[a : a + 64])]
-        assert got == [x.ids for x in library.encode_batch(texts[a : a + 64], add_special_tokens=False)]
+def test_encoding_is_the_library_s():
+    library, own = Tokenizer.from_file(BYTES), text_encoder(BYTES)
+    texts = odd_texts()
+    for c in map(chr, range(0x260)):
+        texts += [f"a{c}b", f" {c} ", f"{c}{c}a", f"\n{c}\n x", f"9{c}'s{c}  {c}", c * 3]
+    for text, want in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == want.ids, text
     assert own.quick is not None
+    own.quick, kept = None, own.quick
+    assert all(np.frombuffer(own.encode(x), "<u4").tolist() == library.encode(x, add_special_tokens=False).ids for x in texts[:50])
+    own.quick = kept
 
 
 def test_file_format(tmp_path):
