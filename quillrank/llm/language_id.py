@@ -146,7 +146,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
                 yield pa.RecordBatch.from_arrays([pa.array(key[a:b], pa.int64()), pa.array(label[a:b], pa.string()), pa.array(at, pa.list_(pa.int32())), pa.array([r[i] for r, i in zip(x, at, strict=True)], pa.list_(pa.float32()))], ["key", "label", "at", "x"])
 
     table = rows.where(keep).select("text", "label", F.xxhash64("id", "text").alias("key")).mapInArrow(sample, "key long, label string, at array<int>, x array<float>").toArrow()
-    data = sorted(zip(table["key"].to_pylist(), table["label"].to_pylist(), (np.asarray(v.values, np.int64) for v in table["at"]), (np.asarray(v.values, np.float64) for v in table["x"]), strict=True), key=lambda r: r[:2])
+    data = sorted(zip(table["key"].to_pylist(), table["label"].to_pylist(), (np.asarray(v.values) for v in table["at"]), (np.asarray(v.values) for v in table["x"]), strict=True), key=lambda r: r[:2])
     train, kept = [r for i, r in enumerate(data) if i % 5], data[::5]
     model, order = Ftrl(1 << bits, len(classes)), np.random.default_rng(7)
     place = {c: i for i, c in enumerate(classes)}
@@ -156,7 +156,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
             model.learn(at, x, place[label])
     w = model.rows(slice(None))
     scores, truth = np.array([x @ w[at] for _, _, at, x in kept]), np.array([place[label] for _, label, _, _ in kept])
-    return LanguageModel(classes, idf, w.astype(np.float32), calibrate(scores, truth), bits)
+    out = LanguageModel(classes, idf, w.astype(np.float32), calibrate(scores, truth), bits)
+    del table, data, train, kept, model
+    tidy()
+    return out
 
 
 def calibrate(scores: np.ndarray, truth: np.ndarray) -> float:
@@ -181,7 +184,7 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", label
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(a, 1000) for b in batches for a in range(0, b.num_rows, 1000)):
             a, b = model.predict(batch.column(names.index(text_col)).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(a, pa.string()), pa.array(b, pa.float64())], [*names, label, score])
         tidy()

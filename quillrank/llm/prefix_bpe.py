@@ -240,7 +240,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     def run(batches):
         enc = encoder(model_path)
         begin, end = (np.array([i], "<u4").tobytes() for i in (enc.bos, enc.eos))
-        for batch in batches:
+        for batch in (b.slice(a, 1000) for b in batches for a in range(0, b.num_rows, 1000)):
             ids, back = [], []
             for text in batch.column("text").to_pylist():
                 ids.append(begin + enc.encode(text or "") + end)
