@@ -4,11 +4,11 @@ Audio is a binary column of unsigned 8-bit mono PCM, or of RIFF/WAVE (8- or 16-b
 signal give the energy of the twelve pitch classes; difference filters over the chroma image, evaluated on its
 integral image, give two bits each (Gray code), sixteen filters a packed 32-bit integer per frame.
 
-Recordings are compared with a library, a stated set of query recordings.  Equal fingerprints are one class.  Every two
-neighbouring integers of a class vote for the first library class that holds them, at the offset of the two places; the
-histogram's best offset is aligned and scored by its share of differing bits over the overlap.  (A single 32-bit integer
-would meet strangers by chance in a large library; recordings of one integer only can be equal, not aligned.)  So each posting list gives a star, not all
-pairs, whatever its length; recordings linked through a chain of alignments get one component.
+Recordings are compared with a library, a stated set of query recordings.  Equal fingerprints are one class.  Every
+integer of a class, of the shortest recordings as well, votes for the first library class that holds it, at the offset of
+the two places; the histogram's best offset is aligned and scored by its share of differing bits over the overlap.  So each
+posting list gives a star, not all pairs, whatever its length; recordings linked through a chain of alignments get one
+component.  Recordings without one equal integer are not compared.
 
 Nulls: null or empty audio has no fingerprint and matches nothing; a null id is never a query, class or match, and keeps
 a null id.  Rows that share an id are separate recordings with one id.  Short recordings are padded to one
@@ -140,15 +140,15 @@ def with_fingerprints(recordings: DataFrame, id_col: str, audio_col: str) -> Dat
 
 
 def _places(batches):
-    """A row for each two neighbouring integers of a recording."""
+    """A row for each integer of a recording."""
     for batch in batches:
         ids, query = batch.column("class_id"), batch.column("is_query")
-        fps = [np.frombuffer(x, "<u4").astype(np.uint64) for x in batch.column("fp").to_pylist()]
-        n = [max(0, x.size - 1) for x in fps]
+        fps = [np.frombuffer(x, "<u4") for x in batch.column("fp").to_pylist()]
+        n = [x.size for x in fps]
         row = pa.array(np.repeat(np.arange(len(fps)), n), pa.int64())
-        key = np.concatenate([(x[:-1] << U(32)) | x[1:] for x in fps if x.size > 1] or [np.zeros(0, np.uint64)])
-        place = np.concatenate([np.arange(k) for k in n] or [np.zeros(0, np.int64)])
-        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), ids.take(row), query.take(row), pa.array(place.astype(np.int32))], ["value", "class_id", "is_query", "place"])
+        value = np.concatenate([np.zeros(0, np.uint32), *fps]).view(np.int32)
+        place = np.concatenate([np.zeros(0, np.int64), *(np.arange(k) for k in n)])
+        yield pa.RecordBatch.from_arrays([pa.array(value), ids.take(row), query.take(row), pa.array(place.astype(np.int32))], ["value", "class_id", "is_query", "place"])
 
 
 def _aligned(most: float, least: int):
@@ -183,7 +183,7 @@ def identify(recordings: DataFrame, is_query: Column, id_col: str = "doc_id", au
     classes = written(classes, "classes")
     reps = table.join(classes.withColumnRenamed("class_id", "doc_id"), ["doc_id", *name]).dropDuplicates(["doc_id", *name]).select(F.xxhash64("doc_id", *name).alias("class_id"), "doc_id", "query_id", "fp")
     reps = written(reps, "recordings")
-    values = reps.select("class_id", F.col("query_id").isNotNull().alias("is_query"), "fp").mapInArrow(_places, "value long, class_id long, is_query boolean, place int")
+    values = reps.select("class_id", F.col("query_id").isNotNull().alias("is_query"), "fp").mapInArrow(_places, "value int, class_id long, is_query boolean, place int")
     library = values.where("is_query").join(reps.select("class_id", "query_id"), "class_id").groupBy("value").agg(F.min_by(F.struct(F.col("class_id").alias("lead"), F.col("place").alias("at")), F.struct("query_id", "class_id", "place")).alias("l"))
     votes = values.drop("is_query").join(library, "value").where("class_id <> l.lead").groupBy("class_id", F.col("l.lead").alias("lead"), (F.col("l.at") - F.col("place")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
     best = votes.groupBy("class_id", "lead").agg(F.max_by(F.struct("offset", "votes"), F.struct("votes", -F.abs("offset"), "offset")).alias("b")).select("class_id", "lead", "b.offset", "b.votes")

@@ -234,6 +234,16 @@ def test_recordings(spark):
     assert C.identify(docs.where("doc_id < 0"), F.col("doc_id") % 20 == 0).count() == 0
 
 
+def test_recordings_of_one_integer_are_searched(spark):
+    r = random.Random(7)
+    tune = _pcm(_tune(r, 12))
+    at = 40 * C.HOP
+    docs = spark.createDataFrame([(20, tune), (21, tune[at : at + C.FRAME + (C.SPAN - 1) * C.HOP]), (22, _pcm(_tune(r, 12)))], "doc_id long, audio binary")
+    rows = {x.doc_id: x for x in C.identify(docs, F.col("doc_id") == 20).collect()}
+    assert (rows[21].n_fingerprints, rows[21].match_id, rows[21].offset, rows[21].bit_error, rows[21].component_id) == (1, 20, 40, 0.0, 20)
+    assert rows[22].match_id is None
+
+
 @pytest.mark.parametrize("offset", [-3, 0, 5])
 def test_bit_errors(offset):
     r = np.random.default_rng(4)
