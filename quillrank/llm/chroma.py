@@ -5,10 +5,11 @@ signal give the energy of the twelve pitch classes; difference filters over the
 integral image, give two bits each (Gray code), sixteen filters a packed 32-bit integer per frame.
 
 Recordings are compared with a library, a stated set of query recordings.  Equal fingerprints are one class.  Every
-integer of a class, of the shortest recordings as well, votes for the first library class that holds it, at the offset of
-the two places; the histogram's best offset is aligned and scored by its share of differing bits over the overlap.  So each
-posting list gives a star, not all pairs, whatever its length; recordings linked through a chain of alignments get one
-component.  Recordings without one equal integer are not compared.
+integer of a class, of the shortest recordings as well, votes for all library classes that hold it, at the offsets of all
+its places; each pair's best offset in the histogram is aligned and scored by its share of differing bits over the overlap.
+Blocks of recordings meet blocks of the library, so pairs are made in numpy and only the best link of a recording, and the
+links that connect, leave a block; recordings linked through a chain of alignments get one component.  Recordings without
+one equal integer are not compared.
 
 Nulls: null or empty audio has no fingerprint and matches nothing; a null id is never a query, class or match, and keeps
 a null id.  Rows that share an id are separate recordings with one id.  Short recordings are padded to one
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._blocks import ROWS, U, mix, written
+from ._blocks import ROWS, U, mix, tidy, written
 from ._components import components
 
 RATE, FRAME, HOP, SPAN = 4000, 512, 64, 16
@@ -139,40 +140,126 @@ def with_fingerprints(recordings: DataFrame, id_col: str, audio_col: str) -> Dat
     return recordings.select(F.col(id_col).cast("long").alias("doc_id"), F.col(audio_col).cast("binary").alias("audio")).mapInArrow(run, "doc_id long, n long, sig_a long, sig_b long, fp binary")
 
 
-def _places(batches):
-    """A row for each integer of a recording."""
-    for batch in batches:
-        ids, query = batch.column("class_id"), batch.column("is_query")
-        fps = [np.frombuffer(x, "<u4") for x in batch.column("fp").to_pylist()]
-        n = [x.size for x in fps]
-        row = pa.array(np.repeat(np.arange(len(fps)), n), pa.int64())
-        value = np.concatenate([np.zeros(0, np.uint32), *fps]).view(np.int32)
-        place = np.concatenate([np.zeros(0, np.int64), *(np.arange(k) for k in n)])
-        yield pa.RecordBatch.from_arrays([pa.array(value), ids.take(row), query.take(row), pa.array(place.astype(np.int32))], ["value", "class_id", "is_query", "place"])
+def _spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[i], start[i] + 1, ... n[i] numbers, of all i."""
+    return np.arange(int(n.sum())) + np.repeat(start - (np.cumsum(n) - n), n)
+
+
+def _pieces(n: np.ndarray, most: int):
+    """Ranges of n with sums up to most, or one entry above it."""
+    sums, a = np.cumsum(n), 0
+    while a < n.size:
+        b = max(a + 1, int(np.searchsorted(sums, (sums[a - 1] if a else 0) + most, "right")))
+        yield a, b
+        a = b
+
+
+def _unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(integers of all recordings, where each recording begins, how many it has)."""
+    fps = [np.frombuffer(x, "<u4") for x in table["fp"].to_pylist()]
+    n = np.array([x.size for x in fps], np.int64)
+    return np.concatenate([np.zeros(0, np.uint32), *fps]), np.cumsum(n) - n, n
+
+
+def votes(x: tuple, y: tuple, own: np.ndarray, other: np.ndarray, most: int = 2_000_000):
+    """Offset histograms of all recordings x and y (integers, begins, counts) with an equal integer: (recording of x, of y,
+    offset, votes) in parts, sorted, all of a recording of x in one part.  own, other: whom each recording is not compared with."""
+    order = np.argsort(y[0], kind="stable")
+    row = np.repeat(np.arange(y[2].size), y[2])[order]
+    place = _spread(np.zeros(y[2].size, np.int64), y[2])[order]
+    lo, hi = (np.searchsorted(y[0][order], x[0], side) for side in ("left", "right"))
+    at = np.flatnonzero(hi > lo)
+    n, lo = (hi - lo)[at], lo[at]
+    c, p = np.repeat(np.arange(x[2].size), x[2])[at], _spread(np.zeros(x[2].size, np.int64), x[2])[at]
+    width = int(x[2].max(initial=0) + y[2].max(initial=0))
+    held = np.zeros((4, 0), np.int64)
+    for a, b in _pieces(n, most):
+        found = _spread(lo[a:b], n[a:b])
+        i, j, offset = np.repeat(c[a:b], n[a:b]), row[found], place[found] - np.repeat(p[a:b], n[a:b])
+        new = own[i] != other[j]
+        i, j = np.append(held[0], i[new]), np.append(held[1], j[new])
+        offset, v = np.append(held[2], offset[new]), np.append(held[3], np.ones(int(new.sum()), np.int64))
+        pair, inverse = np.unique(i * y[2].size + j, return_inverse=True)
+        key, inverse = np.unique(inverse * (2 * width) + offset + width, return_inverse=True)
+        sums = np.bincount(inverse, v).astype(np.int64)
+        pair = pair[key // (2 * width)]
+        held = np.stack([pair // y[2].size, pair % y[2].size, key % (2 * width) - width, sums])
+        done = held[0] < c[b] if b < c.size else np.ones(key.size, bool)
+        if done.any():
+            yield held[:, done]
+        held = held[:, ~done]
+
+
+def aligned(x: tuple, y: tuple, found: np.ndarray, most: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best offset of each pair in a part of votes(): (recording of x, of y, offset, votes, overlap), bit errors; those that pass."""
+    found = found[:, np.lexsort((-found[2], np.abs(found[2]), -found[3], found[1], found[0]))]
+    found = found[:, np.append(True, (found[:2, 1:] != found[:2, :-1]).any(axis=0))]
+    i, j, offset = found[:3]
+    lo = np.maximum(0, -offset)
+    n = np.minimum(x[2][i], y[2][j] - offset) - lo
+    ok = n >= np.minimum(least, np.minimum(x[2][i], y[2][j]))
+    found, n, lo = found[:, ok], n[ok], lo[ok]
+    i, j, offset = found[:3]
+    error = np.zeros(n.size)
+    for a, b in _pieces(n, 4_000_000):
+        k = n[a:b]
+        bits = np.bitwise_count(x[0][_spread(x[1][i[a:b]] + lo[a:b], k)] ^ y[0][_spread(y[1][j[a:b]] + lo[a:b] + offset[a:b], k)])
+        error[a:b] = np.add.reduceat(bits.astype(np.int64), np.cumsum(k) - k) / (32 * k)
+    ok = error <= most
+    return np.vstack([found[:, ok], n[ok]]), error[ok]
+
+
+LINKS = "own_class long, match_class long, library_id long, offset long, votes long, overlap long, bit_error double, n_links long"
+_LINKS = ["own_class", "match_class", "library_id", "offset", "votes", "overlap", "bit_error", "n_links"]
+
+
+def _compared(most: float, least: int):
+    """For a block of recordings with a block of the library: the best link of each recording, with the number of its links, and of
+    the other links (without a number) those that join what is not yet connected."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        x, y = _unpacked(left), _unpacked(right)
+        own, other = (t["class_id"].to_numpy() for t in (left, right))
+        node, lead, library = left["doc_id"].to_numpy(), right["doc_id"].to_numpy(), right["query_id"].to_numpy()
+        label, out = np.arange(y[2].size), []
+        for part in votes(x, y, own, other):
+            found, error = aligned(x, y, part, most, least)
+            order = np.lexsort((found[2], library[found[1]], -found[4], error, found[0]))
+            found, error = found[:, order], error[order]
+            i, j = found[:2]
+            if not i.size:
+                continue
+            first = np.append(True, i[1:] != i[:-1])
+            n = np.where(first, np.bincount(i)[i], 0)
+            _, keep = np.unique(i * y[2].size + label[j], return_index=True)  # of each recording one link to each group, the best
+            keep = np.sort(keep)
+            for a, b in zip(keep[:-1].tolist(), keep[1:].tolist(), strict=True):
+                if i[a] == i[b] and label[j[a]] != label[j[b]]:
+                    label[label == label[j[b]]] = label[j[a]]
+            out.append(pa.table([node[i[keep]], lead[j[keep]], library[j[keep]], *found[2:, keep], error[keep], n[keep]], _LINKS))
+        tidy()
+        empty = [np.zeros(0, np.float64 if k == "bit_error" else np.int64) for k in _LINKS]
+        return pa.concat_tables(out or [pa.table(empty, _LINKS)])
 
+    return run
 
-def _aligned(most: float, least: int):
-    def run(batches):
-        for batch in batches:
-            out = []
-            for c, lead, offset, votes, x, y in zip(*(batch.column(k).to_pylist() for k in ("class_id", "lead", "offset", "votes", "fp", "lead_fp")), strict=True):
-                a, b = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
-                n, e = bit_errors(a, b, offset)
-                if e <= most and n >= min(least, a.size, b.size):
-                    out.append((c, lead, offset, votes, n, e))
-            if out:
-                cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.float64())], ["class_id", "match_id", "offset", "votes", "overlap", "bit_error"])
 
-    return run
+def links(reps: DataFrame, most: float, least: int) -> DataFrame:
+    """LINKS of reps (class_id, doc_id, query_id, fp): every block of recordings meets every block of the library."""
+    size = F.length("fp") / 4
+    total, library = (int(n or 0) for n in reps.agg(F.sum(size), F.sum(F.when(F.col("query_id").isNotNull(), size))).first())
+    rows, columns = max(24, -(-total // 8_000_000)), max(1, -(-library // 8_000_000))
+    left = reps.select(F.pmod(F.xxhash64("class_id"), F.lit(rows)).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("j"), "class_id", "doc_id", "fp")
+    right = reps.where("query_id is not null").select(F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("i"), F.pmod(F.xxhash64("class_id"), F.lit(columns)).cast("int").alias("j"), "class_id", "doc_id", "query_id", "fp")
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(_compared(most, least), LINKS)
 
 
 def identify(recordings: DataFrame, is_query: Column, id_col: str = "doc_id", audio_col: str = "audio", most_errors: float = 0.2, least_overlap: int = 16) -> DataFrame:
-    """Per row: doc_id, n_fingerprints, class_id, is_query, match_id, offset, votes, overlap, bit_error, component_id.
+    """Per row: doc_id, n_fingerprints, class_id, is_query, match_id, offset, votes, overlap, bit_error, n_links, component_id.
 
     class_id is the smallest id of equal fingerprints; match_id the other library class (its smallest query id) that the
     recording aligns with best: fewest bit errors, then the longest overlap, then the smallest id; null where none does.
-    offset: frames to add to the recording's place.
+    offset: frames to add to the recording's place.  n_links: the other library classes it aligns with.
     """
     keyed = recordings.select(F.when(is_query, F.lit(True)).otherwise(F.lit(False)).alias("__q"), F.col(id_col).cast("long").alias("__id"), F.col(audio_col).alias("__audio"))
     table = written(with_fingerprints(keyed, "__id", "__audio"), "fingerprints")
@@ -183,16 +270,9 @@ def identify(recordings: DataFrame, is_query: Column, id_col: str = "doc_id", au
     classes = written(classes, "classes")
     reps = table.join(classes.withColumnRenamed("class_id", "doc_id"), ["doc_id", *name]).dropDuplicates(["doc_id", *name]).select(F.xxhash64("doc_id", *name).alias("class_id"), "doc_id", "query_id", "fp")
     reps = written(reps, "recordings")
-    values = reps.select("class_id", F.col("query_id").isNotNull().alias("is_query"), "fp").mapInArrow(_places, "value int, class_id long, is_query boolean, place int")
-    library = values.where("is_query").join(reps.select("class_id", "query_id"), "class_id").groupBy("value").agg(F.min_by(F.struct(F.col("class_id").alias("lead"), F.col("place").alias("at")), F.struct("query_id", "class_id", "place")).alias("l"))
-    votes = values.drop("is_query").join(library, "value").where("class_id <> l.lead").groupBy("class_id", F.col("l.lead").alias("lead"), (F.col("l.at") - F.col("place")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.groupBy("class_id", "lead").agg(F.max_by(F.struct("offset", "votes"), F.struct("votes", -F.abs("offset"), "offset")).alias("b")).select("class_id", "lead", "b.offset", "b.votes")
-    pairs = best.join(reps.select("class_id", "fp"), "class_id").join(reps.select(F.col("class_id").alias("lead"), F.col("fp").alias("lead_fp")), "lead")
-    found = written(pairs.mapInArrow(_aligned(most_errors, least_overlap), "class_id long, match_id long, offset long, votes long, overlap long, bit_error double"), "aligned")
-    ids = reps.select(F.col("class_id").alias("match_id"), F.col("query_id").alias("library_id"), F.col("doc_id").alias("match_class"))
-    found = found.join(ids, "match_id").join(reps.select("class_id", F.col("doc_id").alias("own_class")), "class_id")
+    found = written(links(reps, most_errors, least_overlap), "aligned")
     component = components(found.select(F.col("own_class").alias("u"), F.col("match_class").alias("v")))
     one = F.struct(F.col("library_id").alias("match_id"), "offset", "votes", "overlap", "bit_error")
-    top = found.groupBy("own_class").agg(F.min_by(one, F.struct("bit_error", -F.col("overlap"), "library_id", "offset")).alias("m"))
+    top = found.groupBy("own_class").agg(F.min_by(one, F.struct("bit_error", -F.col("overlap"), "library_id", "offset")).alias("m"), F.sum("n_links").alias("n_links"))
     out = rows.join(classes, name, "left").join(top, F.col("class_id") == F.col("own_class"), "left").join(component, F.col("class_id") == F.col("node"), "left")
-    return out.select("doc_id", F.col("n").alias("n_fingerprints"), F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"), "is_query", "m.match_id", "m.offset", "m.votes", "m.overlap", "m.bit_error", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id", "doc_id")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_fingerprints"), F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"), "is_query", "m.match_id", "m.offset", "m.votes", "m.overlap", "m.bit_error", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id", "doc_id")).alias("component_id"))

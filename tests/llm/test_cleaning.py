@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import fixtures as fx
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -244,6 +245,39 @@ def test_recordings_of_one_integer_are_searched(spark):
     assert rows[22].match_id is None
 
 
+def test_all_library_recordings_are_compared(spark):
+    r, noise = random.Random(8), np.random.default_rng(3)
+    tune, other = _tune(r, 12), _tune(r, 12)
+    loud = tune + noise.normal(0, 0.02, tune.size)
+    near = loud + noise.normal(0, 0.002, tune.size)
+    data = [(20, _pcm(tune)), (40, _pcm(loud)), (41, _pcm(near)), (60, _pcm(np.concatenate([tune[: C.RATE * 4], other])))]
+    rows = {x.doc_id: x for x in C.identify(spark.createDataFrame(data, "doc_id long, audio binary"), F.col("doc_id") % 20 == 0).collect()}
+    assert rows[20].match_id == 40 and rows[40].match_id == 20 and rows[41].match_id == 40
+    assert {rows[k].component_id for k in (20, 40, 41)} == {20} and rows[41].n_links == 2 and rows[60].match_id is None
+
+
+@pytest.mark.parametrize("most", [1, 7, 10**6])
+def test_votes_and_links_by_brute_force(most):
+    r = np.random.default_rng(5)
+    fps = [r.choice(np.array([1, 2, 3, 7, 2**32 - 1], np.uint32), r.integers(1, 9)) for _ in range(30)]
+    ids = np.arange(30)
+    lib = ids[ids % 3 == 0]
+    packed = lambda k: C._unpacked(pa.table({"fp": pa.array([fps[i].tobytes() for i in k], pa.binary())}))
+    x, y = packed(ids), packed(lib)
+    want = Counter((i, k, q - p) for i in ids for k, j in enumerate(lib) if i != j for p, v in enumerate(fps[i]) for q, w in enumerate(fps[j]) if v == w)
+    parts = list(C.votes(x, y, ids, lib, most))
+    assert {tuple(t[:3]): t[3] for part in parts for t in part.T.tolist()} == want and sum(p.shape[1] for p in parts) == len(want)
+    got = {}
+    for part in parts:
+        found, error = C.aligned(x, y, part, 0.3, 3)
+        got |= {(i, j): (o, v, n, e) for (i, j, o, v, n), e in zip(found.T.tolist(), error.tolist(), strict=True)}
+    best = {}
+    for (i, j, o), v in want.items():
+        best[i, j] = max(best.get((i, j), (0, 0, 0)), (v, -abs(o), o))
+    scored = {(i, j): (o, v, *C.bit_errors(fps[i], fps[lib[j]], o)) for (i, j), (v, _, o) in best.items()}
+    assert got == {k: v for k, v in scored.items() if v[3] <= 0.3 and v[2] >= min(3, fps[k[0]].size, fps[lib[k[1]]].size)}
+
+
 @pytest.mark.parametrize("offset", [-3, 0, 5])
 def test_bit_errors(offset):
     r = np.random.default_rng(4)
