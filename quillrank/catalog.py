@@ -141,10 +141,18 @@ def impact_table(spark, sf_dir):
 
 @_registered
 def merged_topk(spark, sf_dir):
+    """The first round, with the flag of queries that need the second."""
     index, bound = _bound(spark, sf_dir)
     return scoring.merged_top_k(scoring.accumulate(scoring.matches(index, bound, BM25), BM25, index), 10, 4, 3)
 
 
+@_registered
+def merged_topk_complete(spark, sf_dir):
+    """merged_topk with its second round: the rows of topk_bm25."""
+    index, bound = _bound(spark, sf_dir)
+    return scoring.complete_top_k(scoring.accumulate(scoring.matches(index, bound, BM25), BM25, index), 10, 4, 3)
+
+
 @_registered
 def labelled_hits(spark, sf_dir):
     return scoring.labelled(_top(spark, sf_dir), index_of(spark, sf_dir))

@@ -89,7 +89,7 @@ def merged_top_k(scores: DataFrame, k: int, shards: int, local_k: int) -> DataFr
     """Top-k merged from each shard's own top local_k, with a flag where a shard may hold more of the answer.
 
     A document belongs to shard doc_id mod shards.  The flag `deep` is set for queries of whose answer some shard gave
-    all of its local_k < k rows: there a second round with the threshold is due.
+    all of its local_k < k rows: there a second round with the threshold is due (complete_top_k).
     """
     shard = F.pmod(F.col("doc_id"), F.lit(shards)).alias("shard")
     ranked = scores.select("qid", "doc_id", rounded().alias("score"), shard)
@@ -100,6 +100,18 @@ def merged_top_k(scores: DataFrame, k: int, shards: int, local_k: int) -> DataFr
     return merged.withColumn("deep", (deepest == local_k) & F.lit(local_k < k)).select("qid", "doc_id", "rank", "score", "local_rank", "deep")
 
 
+def complete_top_k(scores: DataFrame, k: int, shards: int, local_k: int) -> DataFrame:
+    """Top-k from shards in two rounds, equal to top_k: after merged_top_k every shard gives, for the deep queries only, all
+    rows that reach the merged k-th score (all its rows where fewer than k were merged).
+
+    A row that the first round loses comes after its shard's local_k rows, which are then in the answer: the query is deep.
+    """
+    first = merged_top_k(scores, k, shards, local_k)
+    due = first.where("deep").groupBy("qid").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).alias("threshold"))
+    second = scores.join(small(due), "qid").where(F.col("threshold").isNull() | (rounded() >= F.col("threshold")))
+    return first.where("not deep").select("qid", "doc_id", "rank", "score").unionByName(top_k(second, k))
+
+
 def labelled(top: DataFrame, index: Index) -> DataFrame:
     """Hits with the document's label, cut at 26 characters."""
     return small(top).join(index.docs.select("doc_id", F.substring("label", 1, 26).alias("label")), "doc_id", "left").select("qid", "rank", "doc_id", "score", "label")

@@ -84,6 +84,7 @@ def statements() -> dict[str, str]:
         loc AS (SELECT *, row_number() OVER (PARTITION BY qid, doc_id % 4 ORDER BY score DESC, doc_id) AS local_rank FROM ranked),
         mrg AS (SELECT qid, doc_id, score, local_rank, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS r FROM loc WHERE local_rank <= 3)
         SELECT qid, doc_id, r AS rank, score, local_rank, max(local_rank) OVER (PARTITION BY qid) = 3 AS deep FROM mrg WHERE r <= 10"""
+    out["merged_topk_complete"] = out["topk_bm25"]
     out["labelled_hits"] = f"WITH {BASE}, {_scores('bm25')} SELECT qid, rank, doc_id, score, substr(label, 1, 26) AS label FROM ranked JOIN docs USING (doc_id) WHERE rank <= 10"
     out["trec_run"] = f"WITH {BASE}, {_scores('bm25')} SELECT qid || ' Q0 ' || doc_id || ' ' || rank || ' ' || printf('%.6f', score) || ' bm25' AS line FROM ranked WHERE rank <= 10"
     out["term_max_impact"] = f"WITH {BASE}, {_impacts('bm25')} SELECT term_id, round(greatest(0.0, max(impact)), 6) AS bound FROM imp GROUP BY term_id"

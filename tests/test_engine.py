@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillrank.functions.models import MODELS
 from quillrank.operators import bounds, cursors, pruning, reports, variable_blocks
-from quillrank.operators.scoring import accumulate, bind_queries, impacts, kth_scores, labelled, matches, merged_top_k, parse_queries, top_k, weigh_queries
+from quillrank.operators.scoring import accumulate, bind_queries, complete_top_k, impacts, kth_scores, labelled, matches, merged_top_k, parse_queries, top_k, weigh_queries
 from quillrank.plans.retrieval import STRATEGIES, retrieve
 from quillrank.sources.index import Index
 
@@ -162,6 +162,15 @@ def test_merged_top_k_flags_deep_shards(crowd):
     assert all(v == want[q] for q, v in _rows(shallow).items() if q not in deep)
 
 
+@pytest.mark.parametrize(("k", "local_k"), [(10, 1), (10, 3), (1000, 2)])
+def test_second_round_completes_merged_top_k(crowd, k, local_k):
+    index, log = crowd
+    scores = accumulate(matches(index, bind_queries(parse_queries(log), index), MODELS["bm25"]), MODELS["bm25"], index)
+    want = _rows(top_k(scores, k))
+    assert _rows(merged_top_k(scores, k, 3, local_k)) != want
+    assert _rows(complete_top_k(scores, k, 3, local_k)) == want
+
+
 def test_cursor_strategies_give_the_same_checksum(crowd):
     index, log = crowd
     found = matches(index, bind_queries(parse_queries(log), index), MODELS["bm25"])
