@@ -1,10 +1,10 @@
 """Personal data and the terms that reveal it, found and sanitised with DataFrame functions only.
 
 Base spans are e-mail and IP addresses, card numbers (Luhn) and phone numbers.  The values found are the protected
-entities.  A term is a word of a document that holds an entity; over the whole corpus, with probabilities of documents,
+entities.  A term is a word within `reach` characters of an entity (None: of its document); over the whole corpus, with probabilities of documents,
 PMI(entity; term) = log2 p(entity, term) / (p(entity) p(term)) says how much of the entity's information
 content IC = -log2 p(entity) the term gives away.  A term whose share PMI / IC reaches `generalise_at` is generalised, one
-that reaches `remove_at` is removed, at all its places in the documents that hold that entity; others are left alone.  A pair
+that reaches `remove_at` is removed, wherever it stands in reach of that entity; words out of reach are left alone.  A pair
 seen in fewer than `support` documents tells nothing about co-occurrence and is left alone as well.
 
 Positions come from the lengths of what stands between matches, so they are code points.  Patterns start only where a
@@ -88,6 +88,31 @@ def found_in(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("doc_id", "key", "spans", F.when(F.size("spans") > 0, F.col("text")).alias("text"))
 
 
+def contexts(text: Column, spans: Column, reach: int) -> Column:
+    """For each span its kind, its entity and the text to its left and right: up to reach characters, up to the next span."""
+    one = "struct<x:struct<start:int,kind:int,end:int,value:string>,lo:int,hi:int>"
+    begin = F.struct(F.lit(0).alias("m"), F.array().cast(f"array<{one}>").alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        hi = F.greatest(a["m"], x["end"])
+        return F.struct(hi.alias("m"), F.concat(a["out"], F.array(F.struct(x.alias("x"), a["m"].alias("lo"), hi.alias("hi")))).alias("out"))
+
+    def side(start: Column, end: Column, cut_front: Column, cut_end: Column) -> Column:
+        n = F.greatest(F.lit(0), end - start)
+        return F.struct(start.alias("at"), text.substr(start + 1, n).alias("text"), F.when(cut_front, F.lit(0)).otherwise(F.lit(-1)).alias("cut_front"), F.when(cut_end, n).otherwise(F.lit(-1)).alias("cut_end"))
+
+    def both(a: Column, after: Column) -> Column:
+        x, no = a["x"], F.lit(False)
+        far, end = x["start"] - reach, a["hi"] + reach
+        stop = F.coalesce(F.least(after["start"], end), end)
+        return F.struct(
+            x["kind"].alias("kind"), F.lower(x["value"]).alias("entity"), side(F.greatest(a["lo"], far), x["start"], far > a["lo"], no).alias("left"), side(a["hi"], stop, no, stop == end).alias("right")
+        )
+
+    walked = F.aggregate(spans, begin, step, lambda a: a["out"])
+    return F.filter(F.zip_with(walked, F.slice(spans, F.lit(2), F.size(spans)), lambda a, b: F.when(a.isNotNull(), both(a, b))), lambda c: c.isNotNull())
+
+
 def gaps(text: Column, spans: Column) -> Column:
     """What lies outside the spans, in order: where it begins and its text."""
     begin = F.struct(F.lit(0).alias("m"), F.array().cast("array<struct<at:int,text:string>>").alias("out"))
@@ -104,8 +129,17 @@ def _term(word: Column, least: int) -> Column:
     return (F.length(word) >= least) | ((F.length(word) >= 2) & word.rlike(SHORT))
 
 
-def revealing_terms(docs: DataFrame, found: DataFrame, text_col: str = "text", least_letters: int = 3, support: int = 2, generalise_at: float = 0.7, remove_at: float = 0.9) -> DataFrame:
-    """(key, terms): for rows with any, the spans of terms to generalise (value `~`) or remove (value empty)."""
+def _told(docs: DataFrame, pairs: DataFrame, words: Column, generalise_at: float, remove_at: float) -> DataFrame:
+    """(kind, entity, term, gone) of the pairs (kind, entity, n_entity, term, both) whose share is high enough; words: those of a document."""
+    counts = docs.select(F.explode(F.array_distinct(words)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    n = F.lit(float(max(1, docs.count())))
+    pmi, ic = F.log2(F.col("both") * n / (F.col("n_entity") * F.col("n_term"))), F.log2(n / F.col("n_entity"))
+    told = pairs.join(counts, "term").where((ic > 0) & (pmi >= F.lit(generalise_at) * ic))
+    return told.select("kind", "entity", "term", (pmi >= F.lit(remove_at) * ic).alias("gone"))
+
+
+def terms_of_documents(docs: DataFrame, found: DataFrame, text_col: str, least_letters: int, support: int, generalise_at: float, remove_at: float) -> DataFrame:
+    """revealing_terms with the reach of a whole document: all its words count, and go at all their places."""
     rows = found.where("text is not null").dropDuplicates(["key"])
     holders = rows.select("key", F.explode("spans").alias("e")).select("key", F.col("e.kind").alias("kind"), F.lower("e.value").alias("entity")).distinct()
     entities = holders.groupBy("kind", "entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= support)  # a pair is in no more documents than its entity
@@ -117,11 +151,7 @@ def revealing_terms(docs: DataFrame, found: DataFrame, text_col: str = "text", l
 
     pairs = near.groupBy("kind", "entity", "n_entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= support)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    counts = docs.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    n = F.lit(float(max(1, docs.count())))
-    pmi, ic = F.log2(F.col("both") * n / (F.col("n_entity") * F.col("n_term"))), F.log2(n / F.col("n_entity"))
-    told = pairs.join(counts, "term").where((ic > 0) & (pmi >= F.lit(generalise_at) * ic))
-    told = told.select("kind", "entity", "term", (pmi >= F.lit(remove_at) * ic).alias("gone"))
+    told = _told(docs, pairs, F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower), generalise_at, remove_at)
     flagged = near.join(told, ["kind", "entity", "term"]).groupBy("key", "term").agg(F.max("gone").alias("gone"))
     flagged = flagged.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "gone"))).alias("told"))  # a document's own terms
 
@@ -145,6 +175,32 @@ def revealing_terms(docs: DataFrame, found: DataFrame, text_col: str = "text", l
     return rows.join(flagged, "key").select("key", F.array_sort(spans).cast(SPAN).alias("terms"))
 
 
+def revealing_terms(
+    docs: DataFrame, found: DataFrame, text_col: str = "text", reach: int | None = 60, least_letters: int = 3, support: int = 2, generalise_at: float = 0.7, remove_at: float = 0.9
+) -> DataFrame:
+    """(key, terms): for rows with any, the spans of terms to generalise (value `~`) or remove (value empty)."""
+    if reach is None:
+        return terms_of_documents(docs, found, text_col, least_letters, support, generalise_at, remove_at)
+    rows = found.where("text is not null").dropDuplicates(["key"])
+    near = rows.select("key", F.explode(contexts(F.col("text"), F.col("spans"), reach)).alias("c"))
+
+    def words(side: Column) -> Column:
+        """Whole words of one side, placed in the text; a word at a place where the side was cut off is left out."""
+        found = F.filter(located(side["text"], WORD, 4, F.lit(True)), lambda x: (F.length(x["value"]) >= least_letters) & (x["start"] != side["cut_front"]) & (x["end"] != side["cut_end"]))
+        return F.transform(found, lambda x: F.struct((x["start"] + side["at"]).alias("start"), (x["end"] + side["at"]).alias("end"), F.lower(x["value"]).alias("term")))
+
+    near = near.select("key", "c.kind", "c.entity", F.explode(F.concat(words(F.col("c.left")), words(F.col("c.right")))).alias("t"))
+    near = written(near.select("key", "kind", "entity", "t.start", "t.end", "t.term"), "near")
+
+    pairs = near.select("key", "kind", "entity", "term").distinct().groupBy("kind", "entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= support)
+    entities = rows.select("key", F.explode("spans").alias("e")).select("key", F.col("e.kind").alias("kind"), F.lower("e.value").alias("entity")).distinct().groupBy("kind", "entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    text = F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    told = _told(docs, pairs.join(entities, ["kind", "entity"]), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), generalise_at, remove_at)
+    spans = near.join(told, ["kind", "entity", "term"]).groupBy("key", "start", "end").agg(F.max("gone").alias("gone"))
+    one = F.struct(F.col("start"), F.lit(4).alias("kind"), F.col("end"), F.when(F.col("gone"), F.lit("")).otherwise(F.lit("~")).alias("value"))
+    return spans.groupBy("key").agg(F.array_sort(F.collect_list(one)).cast(SPAN).alias("terms"))  # a document's own terms
+
+
 def sanitised(text: Column, spans: Column) -> Column:
     """The text with base spans replaced by their kind, generalised terms by <TERM>, removed ones gone; of overlapping spans the first."""
     kinds = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))

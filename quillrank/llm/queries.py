@@ -37,7 +37,7 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return disclosure.find_disclosures(_table(spark, sf_dir, "documents")).drop("sanitised")
+    return disclosure.find_disclosures(_table(spark, sf_dir, "documents"), reach=None).drop("sanitised")
 
 
 def op7_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
