@@ -1,4 +1,7 @@
-"""Masked pseudo-likelihood scores from a bidirectional window network.
+"""Masked pseudo-likelihood scores from a bidirectional window network: the network, and a model of fixed size.
+
+The model of fixed size scores rows without a shuffle, such as those of a stream; `pseudo_likelihood` has the one whose
+vocabulary grows with the corpus.
 
 Every token is predicted from the tokens on both of its sides while itself hidden; the log-probabilities of a
 document's tokens, each given its two sides, add up to its score.

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chroma, decontaminate, disclosure, language_id, masked_lm, ngram_join, prefix_bpe, substring_dedup, suffix_dedup, token_files
+from . import chroma, decontaminate, disclosure, language_id, ngram_join, prefix_bpe, pseudo_likelihood, substring_dedup, suffix_dedup, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,8 +24,7 @@ def op2_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    return masked_lm.score(docs, masked_lm.fit(docs))
+    return pseudo_likelihood.pseudo_likelihood(_table(spark, sf_dir, "documents"))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
