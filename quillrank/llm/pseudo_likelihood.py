@@ -80,6 +80,7 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, trains: bool, scored: b
         s, e, doc = B.word_spans(t.data, t.off, t.size)
         words, sequence, counts = np.unique(word_keys(t.data, s, e), return_inverse=True, return_counts=True)
         sizes = np.bincount(doc, minlength=t.ids.size)
+        B.tidy()
         return _batch([(trains, scored, number, words.size, s.size, t.id_column(), B.pack(sizes), B.pack_sorted(words), B.pack(counts), B.pack(sequence))], _BLOCKS)
 
     def run(batches):
@@ -297,15 +298,31 @@ def _tokens(row: dict) -> tuple[np.ndarray, ...]:
     return doc, left, classes, right
 
 
-def _contexts(k: int):
+def _contexts(k: int, most: int = 2_000_000):
+    """Cells of blocks, added up over a task's blocks while they are about `most` at least."""
+
+    def merged(held: list) -> list[np.ndarray]:
+        cell, inverse = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
+        n = np.zeros(cell.size, np.int64)
+        np.add.at(n, inverse, np.concatenate([x for _, x in held]))
+        return [cell, n]
+
+    def sent(cell: np.ndarray, n: np.ndarray):
+        B.tidy()
+        return pa.RecordBatch.from_arrays([*np.divmod(cell, k), n], ["pair", "middle", "n"])
+
     def run(batches):
+        held = []
         for batch in batches:
-            for r in batch.to_pylist():
-                _, left, middle, right = _tokens(r)
-                cell, n = np.unique((left * k + right) * k + middle, return_counts=True)
-                if cell.size:
-                    pair, middle = np.divmod(cell, k)
-                    yield pa.RecordBatch.from_arrays([pair, middle, n], ["pair", "middle", "n"])
+            for i in range(batch.num_rows):
+                _, left, middle, right = _tokens(batch.slice(i, 1).to_pylist()[0])
+                held.append(np.unique((left * k + right) * k + middle, return_counts=True))
+                if sum(c.size for c, _ in held) >= most:
+                    held = [merged(held)]
+                    if held[0][0].size >= most // 2:
+                        yield sent(*held.pop())
+        if held:
+            yield sent(*merged(held))
 
     return run
 
@@ -384,13 +401,15 @@ def scores(fitted: Fitted) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for i, r in enumerate(batch.select(["sizes", "shares", "classes"]).to_pylist()):
+            for i in range(batch.num_rows):
+                r = batch.select(["sizes", "shares", "classes"]).slice(i, 1).to_pylist()[0]
                 doc, left, middle, right = _tokens(r)
                 own = B.unzip_bytes(r["shares"], np.float64)
                 n = np.bincount(doc, minlength=own.size)
                 total = own + np.bincount(doc, shared.value.logp(left, middle, right), minlength=own.size)
                 mean = total / np.maximum(n, 1)
                 none = n == 0
+                B.tidy()
                 yield pa.RecordBatch.from_arrays([batch.column("ids")[i].values, pa.array(n, pa.int64()), pa.array(total + 0.0), pa.array(mean, mask=none), pa.array(np.exp(-mean), mask=none)], ["doc_id", "n_tokens", "pseudo_log_likelihood", "per_token", "perplexity"])
 
     return classed.where("scored").select("ids", "sizes", "shares", "classes").mapInArrow(run, SCORES)
