@@ -27,10 +27,14 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def count_postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(term, doc_id, tf): one shuffle, with partial counts."""
-    words = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.explode(tokens(F.col(text_col))).alias("term"))
-    return words.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
+def count_postings(docs: DataFrame) -> DataFrame:
+    """(term, doc_id, tf, len) of docs(doc_id, text).
+
+    The texts are dealt by id, which is the only shuffle: a document's words then stand together and are counted where they are.
+    """
+    words = docs.repartition("doc_id").select("doc_id", tokens(F.col("text")).alias("words"))
+    words = words.select("doc_id", F.size("words").alias("len"), F.explode("words").alias("term"))
+    return words.groupBy("term", "doc_id", "len").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def with_dense_ids(df: DataFrame, key: str, name: str, path: str) -> DataFrame:
@@ -80,19 +84,20 @@ class Index:
     def build(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", label_col: str | None = "source") -> Index:
         """Writes the index tables to path (a folder that all executors share) and loads them.
 
-        Every document counts for the totals, also those without a token.  Postings are written in ranges of term ids,
-        sorted, so that a scan for a few terms skips row groups; a document's length stands in its postings, which
-        spares queries the join with the documents.
+        Every document counts for the totals, also those without a token; ids are unique.  Postings are written in ranges of term
+        and document ids, sorted, so that a scan for a few terms skips row groups and a long list is in several files; a
+        document's length stands in its postings, which spares queries the join with the documents.
         """
         spark = docs.sparkSession
         raw = f"{path}/raw"
-        count_postings(docs, id_col, text_col).write.mode("overwrite").parquet(raw)
+        label = F.col(label_col) if label_col else F.lit(None)
+        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), label.cast("string").alias("label"), F.col(text_col).alias("text"))
+        count_postings(rows).write.mode("overwrite").parquet(raw)
         found = spark.read.parquet(raw)
+        Index._write_docs(rows.select("doc_id", "label"), found, path)
         terms = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
         with_dense_ids(terms, "term", "term_id", f"{path}/ranges").select("term_id", "term", "df", "cf").write.mode("overwrite").parquet(f"{path}/terms")
-        label = F.col(label_col) if label_col else F.lit(None)
-        Index._write_docs(docs.select(F.col(id_col).cast("long").alias("doc_id"), label.cast("string").alias("label")), found, path)
-        Index._write_postings(found.join(spark.read.parquet(f"{path}/terms").select("term", "term_id"), "term"), path)
+        Index._write_postings(found.join(small(spark.read.parquet(f"{path}/terms").select("term", "term_id")), "term"), path)
         return Index.load(spark, path)
 
     @staticmethod
@@ -107,7 +112,8 @@ class Index:
         docs = spark.range(ndocs).select(F.col("id").alias("doc_id"))
         docs = docs.join(labels.select("doc_id", "label"), "doc_id", "left") if labels is not None else docs.withColumn("label", F.lit(None).cast("string"))
         Index._write_docs(docs, postings, path)
-        Index._write_postings(postings.join(spark.read.parquet(f"{path}/terms").select("term_id"), "term_id", "left_semi"), path)
+        own = postings.join(spark.read.parquet(f"{path}/terms").select("term_id"), "term_id", "left_semi")
+        Index._write_postings(own.join(spark.read.parquet(f"{path}/docs").select("doc_id", "len"), "doc_id"), path)
         return Index.load(spark, path)
 
     @staticmethod
@@ -118,9 +124,8 @@ class Index:
 
     @staticmethod
     def _write_postings(found: DataFrame, path: str) -> None:
-        lens = found.sparkSession.read.parquet(f"{path}/docs").select("doc_id", F.col("len").cast("int").alias("len"))
-        posted = found.join(lens, "doc_id").select(F.col("term_id").cast("int").alias("term_id"), "doc_id", F.col("tf").cast("long").alias("tf"), "len")
-        posted.repartitionByRange("term_id").sortWithinPartitions("term_id", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+        posted = found.select(F.col("term_id").cast("int").alias("term_id"), "doc_id", F.col("tf").cast("long").alias("tf"), F.col("len").cast("int").alias("len"))
+        posted.repartitionByRange("term_id", "doc_id").sortWithinPartitions("term_id", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Index:
@@ -129,8 +134,8 @@ class Index:
         return Index(postings, terms, docs, Collection(n.ndocs, terms.count(), n.ntokens, n.ntokens / n.ndocs if n.ndocs else 0.0), path)
 
     def save(self, path: str) -> None:
-        """Copies the tables, the postings sorted by ranges of terms."""
-        self.postings.repartitionByRange("term_id").sortWithinPartitions("term_id", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+        """Copies the tables, the postings sorted by ranges of terms and documents."""
+        self.postings.repartitionByRange("term_id", "doc_id").sortWithinPartitions("term_id", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
         self.terms.write.mode("overwrite").parquet(f"{path}/terms")
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
 
