@@ -139,6 +139,12 @@ def impact_table(spark, sf_dir):
     return scoring.impacts(index, BM25, bound).select("term_id", "doc_id", *_six("impact"))
 
 
+@_registered
+def impact_table_complete(spark, sf_dir):
+    """impact_table of all lists, those of no query as well."""
+    return scoring.impacts(index_of(spark, sf_dir), BM25).select("term_id", "doc_id", *_six("impact"))
+
+
 @_registered
 def merged_topk(spark, sf_dir):
     """The first round, with the flag of queries that need the second."""
@@ -284,6 +290,12 @@ def ef_roundtrip(spark, sf_dir):
     return elias_fano.decode_lists(elias_fano.encode_lists(own))
 
 
+@_registered
+def ef_roundtrip_complete(spark, sf_dir):
+    """ef_roundtrip of all lists."""
+    return elias_fano.decode_lists(elias_fano.encode_lists(index_of(spark, sf_dir).postings))
+
+
 @_registered
 def next_geq(spark, sf_dir):
     index, bound = _bound(spark, sf_dir)
@@ -297,6 +309,12 @@ def posting_moves(spark, sf_dir):
     return elias_fano.moved(index.postings.join(small(bound.select("term_id").distinct()), "term_id", "left_semi"), 3)
 
 
+@_registered
+def posting_moves_complete(spark, sf_dir):
+    """posting_moves of all lists."""
+    return elias_fano.moved(index_of(spark, sf_dir).postings, 3)
+
+
 def _permuted(spark, sf_dir, kind):
     """All order keys, moved and moved back within 0..largest."""
     v = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("v")).distinct()

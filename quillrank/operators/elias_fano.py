@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,28 +134,51 @@ class Cursor:
         return self._to(int(np.searchsorted(self.values, v)))
 
 
-def encode_lists(postings: DataFrame) -> DataFrame:
-    """(term_id, n, docs, freqs): each list's doc ids and running tf as Elias-Fano bytes.  A list is one group."""
+def encode_lists(postings: DataFrame, segment_bits: int = 20) -> DataFrame:
+    """(term_id, base, n, docs, freqs): doc ids, less base, and running tf as Elias-Fano bytes.
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("doc_id")
-        freqs = np.concatenate([[0], np.cumsum(rows["tf"].to_numpy() - 1)])
-        return pd.DataFrame({"term_id": rows["term_id"].iloc[:1], "n": [len(rows)], "docs": [EliasFano(rows["doc_id"]).to_bytes()], "freqs": [EliasFano(freqs).to_bytes()]})
+    A list is coded in segments of 2**segment_bits doc ids, so that the longest list is no single task's.  A partition's lists
+    come sorted and are coded one after another.
+    """
 
-    return postings.select("term_id", "doc_id", "tf").groupBy("term_id").applyInPandas(run, "term_id int, n long, docs binary, freqs binary")
+    def coded(term: np.ndarray, base: np.ndarray, doc: np.ndarray, tf: np.ndarray) -> pa.RecordBatch:
+        first = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (base[1:] != base[:-1])))
+        ends = np.append(first[1:], term.size)
+        sums = np.append(0, np.cumsum(tf - 1))
+        docs = [EliasFano(doc[a:b] - base[a]).to_bytes() for a, b in zip(first.tolist(), ends.tolist(), strict=True)]
+        freqs = [EliasFano(sums[a : b + 1] - sums[a]).to_bytes() for a, b in zip(first.tolist(), ends.tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(term[first], pa.int32()), base[first], ends - first, pa.array(docs, pa.binary()), pa.array(freqs, pa.binary())], ["term_id", "base", "n", "docs", "freqs"])
+
+    def run(batches):
+        held = [np.zeros(0, np.int64)] * 4
+        for batch in batches:
+            held = [np.concatenate([h, np.asarray(c, np.int64)]) for h, c in zip(held, batch.columns, strict=True)]
+            term, base = held[:2]
+            before = np.flatnonzero((term != term[-1:]) | (base != base[-1:]))  # the last list may go on
+            cut = int(before[-1]) + 1 if before.size else 0
+            if cut:
+                yield coded(*(h[:cut] for h in held))
+                held = [h[cut:] for h in held]
+        if held[0].size:
+            yield coded(*held)
+
+    base = F.shiftleft(F.shiftright("doc_id", segment_bits), segment_bits).alias("base")
+    rows = postings.select("term_id", base, "doc_id", "tf").repartition("term_id", "base").sortWithinPartitions("term_id", "doc_id")
+    return rows.mapInArrow(run, "term_id int, base long, n long, docs binary, freqs binary")
 
 
 def decode_lists(encoded: DataFrame) -> DataFrame:
     """(term_id, doc_id, tf) of encode_lists."""
 
     def run(batches):
-        for rows in batches:
-            docs = [EliasFano.from_bytes(x).decode() for x in rows["docs"]]
+        for batch in batches:
+            rows = batch.to_pydict()
+            docs = [base + EliasFano.from_bytes(x).decode() for base, x in zip(rows["base"], rows["docs"], strict=True)]
             tf = [1 + np.diff(EliasFano.from_bytes(x).decode()) for x in rows["freqs"]]
             if docs:
-                yield pd.DataFrame({"term_id": np.repeat(rows["term_id"].to_numpy(), [d.size for d in docs]), "doc_id": np.concatenate(docs), "tf": np.concatenate(tf)})
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(rows["term_id"], [d.size for d in docs]), pa.int32()), np.concatenate(docs), np.concatenate(tf)], ["term_id", "doc_id", "tf"])
 
-    return encoded.mapInPandas(run, "term_id int, doc_id long, tf long")
+    return encoded.mapInArrow(run, "term_id int, doc_id long, tf long")
 
 
 def next_at_least(postings: DataFrame, targets: DataFrame) -> DataFrame:

@@ -80,6 +80,7 @@ def statements() -> dict[str, str]:
     out["query_terms"] = base + "SELECT qid, CAST(pos AS INTEGER) AS pos, term, negated, term IN (SELECT term FROM terms) AS known FROM qall"
     out["query_unknown_terms"] = base + "SELECT qid, term, qtf, qlen FROM qw WHERE term NOT IN (SELECT term FROM terms)"
     out["impact_table"] = f"WITH {BASE}, {_impacts('bm25')} SELECT term_id, doc_id, round(impact, 6) AS impact FROM imp WHERE term_id IN (SELECT term_id FROM q)"
+    out["impact_table_complete"] = f"WITH {BASE}, {_impacts('bm25')} SELECT term_id, doc_id, round(impact, 6) AS impact FROM imp"
     out["merged_topk"] = f"""WITH {BASE}, {_scores('bm25')},
         loc AS (SELECT *, row_number() OVER (PARTITION BY qid, doc_id % 4 ORDER BY score DESC, doc_id) AS local_rank FROM ranked),
         mrg AS (SELECT qid, doc_id, score, local_rank, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS r FROM loc WHERE local_rank <= 3)
@@ -124,11 +125,15 @@ def statements() -> dict[str, str]:
               (n // 256) * 4 AS pointer_bytes FROM b)
         SELECT *, lower_bytes + upper_bytes + pointer_bytes AS total_bytes FROM s"""
     out["ef_roundtrip"] = base + "SELECT term_id, doc_id, tf FROM post WHERE term_id IN (SELECT term_id FROM q)"
+    out["ef_roundtrip_complete"] = base + "SELECT term_id, doc_id, tf FROM post"
     out["next_geq"] = base + """, t AS (SELECT DISTINCT term_id, unnest([0, 97, 500, 950])::BIGINT AS target FROM q)
         SELECT t.term_id, t.target, min(p.doc_id) AS doc_id FROM t LEFT JOIN post p ON p.term_id = t.term_id AND p.doc_id >= t.target GROUP BY 1, 2"""
     out["posting_moves"] = base + """SELECT term_id, doc_id, lead(doc_id, 3) OVER w AS skipped, lag(doc_id) OVER w AS previous,
         nth_value(doc_id, 3) OVER (PARTITION BY term_id ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS jumped
         FROM post WHERE term_id IN (SELECT term_id FROM q) WINDOW w AS (PARTITION BY term_id ORDER BY doc_id)"""
+    out["posting_moves_complete"] = base + """SELECT term_id, doc_id, lead(doc_id, 3) OVER w AS skipped, lag(doc_id) OVER w AS previous,
+        nth_value(doc_id, 3) OVER (PARTITION BY term_id ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS jumped
+        FROM post WINDOW w AS (PARTITION BY term_id ORDER BY doc_id)"""
     keys = "WITH n AS (SELECT max(o_orderkey) + 1 AS n FROM orders), v AS (SELECT DISTINCT o_orderkey AS v, n FROM orders, n)"
     out["hash_bucket"] = f"{keys} SELECT v, CASE WHEN v >= n // 128 * 128 THEN v ELSE v // 128 + (v % 128) * (n // 128) END AS moved, v AS back FROM v"
     out["hash_modulo"] = f"{keys} SELECT v, (v * 7919) % n AS moved, v AS back FROM v"

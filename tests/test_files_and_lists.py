@@ -50,6 +50,16 @@ def test_cursor_moves(values, target, n):
         assert c.previous_value == values[c.place - 1] and c.previous() and c.value == values[n - 2]
 
 
+@pytest.mark.parametrize("segment_bits", [0, 3, 7, 20])
+def test_long_lists_are_coded_in_segments(spark, segment_bits):
+    r = np.random.default_rng(6)
+    rows = [(t, int(d), int(r.integers(1, 9))) for t, n in enumerate([1, 300, 7, 0, 150]) for d in np.sort(r.choice(5000, n, replace=False))]
+    rows += [(9, 2**40 + 5, 3), (9, 2**40 + 6, 1)]
+    encoded = encode_lists(spark.createDataFrame(rows, "term_id int, doc_id long, tf long"), segment_bits).collect()
+    assert sorted((x.term_id, x.base) for x in encoded) == sorted({(t, d >> segment_bits << segment_bits) for t, d, _ in rows}) and sum(x.n for x in encoded) == len(rows)
+    assert sorted(map(tuple, decode_lists(spark.createDataFrame(encoded, "term_id int, base long, n long, docs binary, freqs binary")).collect())) == sorted(rows)
+
+
 def test_lists_as_tables(spark):
     rows = [(0, d, 1 + d % 3) for d in (2, 5, 9, 40)] + [(1, 7, 4)]
     postings = spark.createDataFrame(rows, "term_id int, doc_id long, tf long")
