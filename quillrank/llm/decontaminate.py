@@ -4,7 +4,8 @@ A benchmark item of m characters occurs in a document if some part of the docume
 Every such part shares at least m - q + 1 - q * budget q-grams with the item, and their diagonals (place in the document
 less place in the item) span at most the budget.  So shared q-grams are counted in overlapping diagonal bands, twice the
 budget wide and one budget apart; regions that reach the bound are kept and aligned, in a band, with free ends in the document.
-Items too short for the bound are sought verbatim.  Case is ignored; places are code points of the document.
+Items too short for the bound are sought verbatim.  Case is ignored; places are code points of the document.  Of the regions
+that pass, those are returned that overlap none that is nearer to the item (or as near, and earlier): an item can have several.
 
 Documents are processed row by row, without a shuffle.  The benchmark is a fixed set that travels with the tasks; beyond
 `part_bytes` it is taken in several parts, one pass each.
@@ -82,14 +83,12 @@ class Benchmark:
         return np.repeat(at, n), np.repeat(self.first[k], n) + run
 
     def find(self, text: str | None) -> list[tuple[int, int, int, int]]:
-        """(item's place in the benchmark, start, end, distance), the best place of each item that occurs."""
+        """(item's place in the benchmark, start, end, distance) of all places of each item that occurs, its nearest first."""
         if not text:
             return []
         low, out = _lower(text), []
         for i in self.verbatim:
-            a = low.find(self.texts[i])
-            if a >= 0:
-                out.append((i, a, a + len(self.texts[i]), 0))
+            out += [(i, a, a + len(self.texts[i]), 0) for a in _occurrences(low, self.texts[i])]
         if not self.h.size or len(low) < self.q:
             return out
         code = _codes(low)
@@ -101,28 +100,43 @@ class Benchmark:
         at, k, item = at[use], k[use], item[use]
         for i in np.unique(item).tolist():
             own = item == i
-            got = self._align(code, low, i, at[own] - self.place[k[own]])
-            if got:
-                out.append((i, *got))
-        return sorted(out)
-
-    def _align(self, code, low, i: int, diagonal: np.ndarray):
-        e = int(self.budget[i])
-        exact = low.find(self.texts[i])
-        if exact >= 0:
-            return exact, exact + len(self.texts[i]), 0
-        step = max(1, e)
-        base = -(-diagonal.min() // step) * step if diagonal.min() > 0 else diagonal.min() // step * step - step
-        band = (diagonal - base) // step
-        n = np.bincount(band - band.min() + 1)
-        n = n + np.append(n[1:], 0)  # band b and the one after it: two steps wide, one step apart
-        best = None
-        for b in np.flatnonzero(n >= self.least[i]).tolist():
-            lo = int(base + (b + int(band.min()) - 1) * step)
-            got = banded(self.codes[i], code, lo - e, lo + 2 * step + e)
-            if got and got[2] <= e and (best is None or (got[2], got[0]) < (best[2], best[0])):
-                best = got
-        return best
+            out += [(i, *x) for x in self._align(code, low, i, at[own], at[own] - self.place[k[own]])]
+        return sorted(out, key=lambda x: (x[0], x[3], x[1]))
+
+    def _align(self, code, low, i: int, at: np.ndarray, diagonal: np.ndarray) -> list[tuple[int, int, int]]:
+        """The places of item i, from its q-grams at places of the document and their diagonals."""
+        e, m = int(self.budget[i]), len(self.texts[i])
+        found = [(0, a, a + m) for a in _occurrences(low, self.texts[i])]
+        if found:  # a region that overlaps none of them has no q-gram in them
+            begin = np.array([a for _, a, _ in found])
+            k = np.searchsorted(begin, at, side="right") - 1
+            outside = (k < 0) | (at + self.q > begin[k] + m)
+            diagonal = diagonal[outside]
+        if diagonal.size >= self.least[i]:
+            step = max(1, e)
+            base = -(-diagonal.min() // step) * step if diagonal.min() > 0 else diagonal.min() // step * step - step
+            band = (diagonal - base) // step
+            n = np.bincount(band - band.min() + 1)
+            n = n + np.append(n[1:], 0)  # band b and the one after it: two steps wide, one step apart
+            for b in np.flatnonzero(n >= self.least[i]).tolist():
+                lo = int(base + (b + int(band.min()) - 1) * step)
+                got = banded(self.codes[i], code, lo - e, lo + 2 * step + e)
+                if got and got[2] <= e:
+                    found.append((got[2], got[0], got[1]))
+        out: list[tuple[int, int, int]] = []
+        for d, a, b in sorted(found):
+            if all(b <= x or y <= a for x, y, _ in out):
+                out.append((a, b, d))
+        return out
+
+
+def _occurrences(text: str, part: str) -> list[int]:
+    """Where part occurs, from left to right without overlaps."""
+    out, at = [], text.find(part)
+    while at >= 0:
+        out.append(at)
+        at = text.find(part, at + len(part))
+    return out
 
 
 def _last_row(item: np.ndarray, text: np.ndarray, lo: int, hi: int, free: bool) -> np.ndarray:
@@ -174,7 +188,7 @@ def benchmarks(items: DataFrame, id_col: str = "item_id", text_col: str = "text"
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """(doc_id, item_id, start, end, distance) of every benchmark item that occurs in a document."""
+    """(doc_id, item_id, start, end, distance) of every place at which a benchmark item occurs in a document."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     names = ["doc_id", "item_id", "start", "end", "distance"]
     schema = ", ".join(f"`{n}` long" for n in names)

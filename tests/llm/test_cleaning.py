@@ -172,6 +172,29 @@ def test_leaks_against_alignment():
                 assert n == d == edits(item, low[a:b])[-1]
 
 
+def test_all_places_of_an_item():
+    """Several copies in one text, each with its own number of edits, exact ones among them."""
+    r = random.Random(13)
+    items = [fx.sentence(r, 20), fx.sentence(r, 35), "short one"]
+    bench = Q.Benchmark([0, 1, 2], items)
+    for _ in range(40):
+        text, want = fx.sentence(r, 10) + " ", []
+        for _ in range(r.randrange(0, 5)):
+            j = r.randrange(3)
+            s = list(bench.texts[j])
+            for _ in range(r.choice([0, 0, 1, int(bench.budget[j]) // 2]) if j < 2 else 0):
+                s[r.randrange(3, len(s) - 3)] = r.choice("#@")
+            want.append((j, len(text)))
+            text += "".join(s) + " " + fx.sentence(r, r.randrange(5, 30)) + " "
+        found = bench.find(text)
+        for j in range(3):
+            own = [x for x in found if x[0] == j]
+            assert [x[3] for x in own] == sorted(x[3] for x in own)
+            assert len(own) == sum(i == j for i, _ in want)
+            for (_, a, b, d), at in zip(sorted(own, key=lambda x: x[1]), [at for i, at in want if i == j], strict=True):
+                assert abs(a - at) <= bench.budget[j] and edits(items[j].lower(), text.lower()[a:b])[-1] == d
+
+
 def test_leak_tables(spark):
     docs = fx.frame(spark)
     source = next(r for r in fx.rows() if r[0] and r[1] and 100 < len(r[1]) < 2000)
