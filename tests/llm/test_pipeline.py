@@ -80,3 +80,14 @@ def test_stages_on_empty_tables(spark, corpus):
     docs = spark.createDataFrame([], COLUMNS)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, folder).count() == 0
+
+
+def test_rows_that_share_an_id(spark, corpus):
+    """Unlinked texts under one id stay; of linked texts and of equal rows one stays."""
+    r = random.Random(21)
+    a, b, c = (_text(r, "aa", 40) for _ in range(3))
+    data = [(7, a), (7, b), (7, b), (9, a + " lo"), (5, c), (12, c), (12, None), (12, None), (None, a), (13, "")]
+    docs = spark.createDataFrame([(i, x, "aa", "s", 1) for i, x in data], COLUMNS)
+    found = corpus_pipeline.duplicates(spark, docs, corpus[0])
+    assert found.columns == docs.columns
+    assert sorted(((x.doc_id, x.text) for x in found.collect()), key=repr) == sorted([(7, a), (7, b), (5, c), (12, None), (None, a), (13, "")], key=repr)
