@@ -17,7 +17,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Ids of rows without one: such a row is later than every document.
@@ -67,13 +67,14 @@ def n_blocks(total_bytes: int, block_bytes: int) -> int:
     return max(8, math.ceil(total_bytes / size))
 
 
-def dealt(df: DataFrame, id_col: str, text: str, blocks: int) -> DataFrame:
-    """(block, doc_id, text): rows without an id are dealt by their text."""
+def dealt(df: DataFrame, id_col: str, text: str, blocks: int, *more: Column) -> DataFrame:
+    """(block, doc_id, text, *more): rows without an id are dealt by their text."""
     key = F.coalesce(F.xxhash64(F.col(id_col)), F.xxhash64(F.col(text)))
     return df.select(
         F.pmod(key, F.lit(blocks)).cast("int").alias("block"),
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(text).cast("string").alias("text"),
+        *more,
     )
 
 
