@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from . import _blocks as B
 from ._components import components
 
-SETS = "doc_id long, rank long, n long, sig_a long, sig_b long, first_pos long, prefix array<long>, tokens binary"
-_SETS = pa.schema([("doc_id", pa.int64()), ("rank", pa.int64()), ("n", pa.int64()), ("sig_a", pa.int64()), ("sig_b", pa.int64()), ("first_pos", pa.int64()), ("prefix", pa.list_(pa.int64())), ("tokens", pa.binary())])
+SETS = "doc_id long, n long, sig_a long, sig_b long, first_pos long, prefix array<long>, tokens binary"
+_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig_a", pa.int64()), ("sig_b", pa.int64()), ("first_pos", pa.int64()), ("prefix", pa.list_(pa.int64())), ("tokens", pa.binary())])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -106,24 +106,13 @@ def _verify(percent: int):
 
 
 def jaccard_components(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    width: int = 5,
-    percent: int = 75,
-    block_bytes: int = 4 << 20,
-    star_rounds: int = 6,
-    open_pairs_per_posting: int = 100,
-    rank_col: str | None = None,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, block_bytes: int = 4 << 20, star_rounds: int = 6, open_pairs_per_posting: int = 100
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id, link_group for every row of docs.
-
-    The first stars are led by the smallest rank (None: the id): near copies tend to be nearer to the earliest one than to each other.
-    """
+    """doc_id, n_shingles, component_id, link_group for every row of docs."""
     total = B.text_bytes(docs, text_col)
     blocks, grams = B.n_blocks(total, block_bytes), max(1, total // 6)
     bits, slices = min(60, max(16, grams.bit_length() + 14)), B.n_slices(grams)
-    dealt = B.dealt(docs, id_col, text_col, blocks, F.col(rank_col or id_col).cast("long").alias("rank"))
+    dealt = B.dealt(docs, id_col, text_col, blocks)
 
     def census(key, table):
         B.tidy()
@@ -156,18 +145,17 @@ def jaccard_components(
         use = dict(tokens)
         lists = [key64[ends[i] - m[i] : ends[i]] if use[i] else None for i in range(n.size)]
         prefix = [None if x is None else x[: reach[i]].view(np.int64) for i, x in enumerate(lists)]
-        return pa.table([t.id_column(), table["rank"], n, *sig, n - m, pa.array(prefix, pa.list_(pa.int64())), pa.array([None if x is None else x.tobytes() for x in lists], pa.binary())], _SETS)
+        return pa.table([t.id_column(), n, *sig, n - m, pa.array(prefix, pa.list_(pa.int64())), pa.array([None if x is None else x.tobytes() for x in lists], pa.binary())], _SETS)
 
     counts = dealt.groupBy("block").applyInArrow(census, B.CELLS).groupBy("slice").applyInArrow(B.merge_sketches(1 << 40), B.ANSWERS)
     table = B.written(dealt.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(sets, SETS), "sets")
 
     name = ["n", "sig_a", "sig_b"]
-    same = table.where("n > 0 and doc_id is not null").groupBy(*name).agg(F.min("doc_id").alias("link_group"), F.min("rank").alias("rank"))
-    reps = table.where("tokens is not null").drop("rank").join(same.withColumnRenamed("link_group", "doc_id"), [*name, "doc_id"]).dropDuplicates([*name, "doc_id"])
-    same = same.drop("rank")
+    same = table.where("n > 0 and doc_id is not null").groupBy(*name).agg(F.min("doc_id").alias("link_group"))
+    reps = table.where("tokens is not null").join(same.withColumnRenamed("link_group", "doc_id"), [*name, "doc_id"], "left_semi").dropDuplicates([*name, "doc_id"])
     # one node may stand for several rows that share an id: their sets stay apart by their names
-    reps = reps.select(F.xxhash64("doc_id", *name).alias("node"), "doc_id", "rank", "n", "first_pos", "prefix", "tokens")
-    postings = reps.select("node", "rank", "n", "first_pos", F.posexplode("prefix").alias("k", "token")).select("token", "node", "rank", "n", (F.col("first_pos") + F.col("k")).alias("pos"))
+    reps = reps.select(F.xxhash64("doc_id", *name).alias("node"), "doc_id", "n", "first_pos", "prefix", "tokens")
+    postings = reps.select("node", "n", "first_pos", F.posexplode("prefix").alias("k", "token")).select("token", "node", "first_pos", "n", (F.col("first_pos") + F.col("k")).alias("pos"))
     lists = postings.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     postings = B.written(postings.join(lists.select("token"), "token", "left_semi"), "postings")
     sides = reps.select("node", "doc_id", "n", "tokens")
@@ -189,8 +177,12 @@ def jaccard_components(
         return pairs.join(b, "v").join(a, "u").select("u", "v", "n_u", "n_v", "a", "b").mapInArrow(_verify(percent), "u long, v long, ok boolean")
 
     def with_leader(members: DataFrame, salt: int) -> DataFrame:
-        """Pairs of each member with its list's leader; u is the smaller node id, so a pair has one form."""
-        lead = members.groupBy("token").agg(F.min_by(F.struct("node", "n", "pos", "comp"), F.xxhash64(F.lit(salt), "node") if salt else F.col("rank")).alias("l"))
+        """Pairs of each member with its list's leader; u is the smaller node id, so a pair has one form.
+
+        The first leader is the member with the fewest n-grams of its own: of near copies the one from which the others were made.
+        """
+        first = F.xxhash64(F.lit(salt), "node") if salt else F.struct("first_pos", "node")
+        lead = members.groupBy("token").agg(F.min_by(F.struct("node", "n", "pos", "comp"), first).alias("l"))
         x = members.join(lead, "token").where("node <> l.node and comp <> l.comp")
         return ordered(x.select(F.struct("node", "n", "pos").alias("x"), F.struct("l.node", "l.n", "l.pos").alias("y")))
 
