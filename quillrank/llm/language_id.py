@@ -187,7 +187,7 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", label
         for batch in (b.slice(a, 1000) for b in batches for a in range(0, b.num_rows, 1000)):
             a, b = model.predict(batch.column(names.index(text_col)).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(a, pa.string()), pa.array(b, pa.float64())], [*names, label, score])
-        tidy()
+            tidy()
 
     return docs.mapInArrow(run, f"{schema}, `{label}` string, `{score}` double")
 

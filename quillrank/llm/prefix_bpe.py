@@ -250,7 +250,8 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
                 [batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), *map(pa.array, sha), pa.array(ids if with_ids else [None] * len(ids), pa.binary()), pa.array(back if with_ids else [None] * len(ids), pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"],
             )
-        tidy()
+            del ids, back, sha, text
+            tidy()
 
     out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary, decoded string")
     return out if with_ids else out.drop("ids", "decoded")
