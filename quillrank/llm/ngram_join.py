@@ -9,8 +9,9 @@
    n-gram, then, with both sets at hand, the suffix filter; then the pair is verified, once.
 4. A posting list of many near copies would give all pairs of them.  So lists first propose stars (every member with one
    leader); what is linked needs no further proof, and only pairs between different components are proposed later,
-   until none is left: first by more stars while the open pairs are many, then all that remain.  Every link between
-   different texts is so either tested or implied by a chain of links.
+   until none is left: first by more stars while the open pairs are many, then all that remain, members of one list meeting
+   those whose size is in reach of the threshold only.  Every link between different texts is so either tested or implied
+   by a chain of links.
 
 Returned per row: id, n_shingles, component_id (the smallest id reachable by links), link_group (the smallest id of equal
 sets).  Nulls: a null text or one without words has no n-grams and no links; a row with a null id has no links and a null
@@ -19,9 +20,11 @@ component.  Rows that share an id are one node.  Empty tables give empty results
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _blocks as B
@@ -105,6 +108,19 @@ def _verify(percent: int):
     return run
 
 
+def length_class(n: Column, percent: int) -> Column:
+    """Sizes by powers of the largest ratio that the threshold allows: sets that can link are in one class or in neighbours."""
+    return F.floor(F.ln(n) / F.lit(math.log(100 / percent) + 1e-9))
+
+
+def neighbours(members: DataFrame, percent: int) -> DataFrame:
+    """Each pair (x, y) of members of one list, of different components and of sizes in one class or in neighbouring ones, once."""
+    m = members.select("token", F.struct("node", "n", "pos", "comp").alias("x"), length_class(F.col("n"), percent).alias("own"))
+    y = m.select("token", F.col("x").alias("y"), F.col("own").alias("at"))
+    found = m.withColumn("at", F.explode(F.array(F.col("own"), F.col("own") + 1))).join(y, ["token", "at"])
+    return found.where("if(own = at, x.comp < y.comp, x.comp <> y.comp)").select("x", "y")
+
+
 def jaccard_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, block_bytes: int = 4 << 20, star_rounds: int = 6, open_pairs_per_posting: int = 100
 ) -> DataFrame:
@@ -205,9 +221,7 @@ def jaccard_components(
                 break
             last = rounds >= star_rounds or pairs_open <= open_pairs_per_posting * size
             if last:
-                m = members.select("token", F.struct("node", "n", "pos", "comp").alias("x"))
-                found = m.join(m.withColumnRenamed("x", "y"), "token").where("x.comp < y.comp").select("x", "y")
-                pairs = proposed(ordered(found), tested)
+                pairs = proposed(ordered(neighbours(members, percent)), tested)
             else:
                 pairs = proposed(with_leader(members, rounds), tested)
         else:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+from collections import Counter
 
 import fixtures as fx
 import numpy as np
@@ -13,7 +14,7 @@ from hypothesis import strategies as st
 
 from quillrank.llm import _blocks as B
 from quillrank.llm._components import components
-from quillrank.llm.ngram_join import _suffix_filter, jaccard_components, linked, rarity
+from quillrank.llm.ngram_join import _suffix_filter, jaccard_components, linked, neighbours, rarity
 from quillrank.llm.substring_dedup import remove_repeated_windows
 from quillrank.llm.suffix_dedup import merge_runs, remove_repeated_bytes
 
@@ -94,6 +95,18 @@ def test_jaccard(spark, options):
     assert _sorted(tuple(r)[:3] for r in found.collect()) == _sorted(_brute_components(data, percent=options.get("percent", 75)))
 
 
+def test_only_sizes_in_reach_meet(spark):
+    """Every pair that passes the length filter is there once, whatever the order of its components; far sizes do not meet."""
+    r = random.Random(14)
+    for percent in (50, 75, 100):
+        rows = [(t, i, r.choice([1, 3, 4, 9, 12, 16, 64, 85, 10**6]), 0, r.randrange(9)) for t in range(3) for i in range(40)]
+        found = neighbours(spark.createDataFrame(rows, "token long, node long, n long, pos long, comp long").coalesce(2), percent).collect()
+        pairs = [(min(a, b), max(a, b)) for a, b in ((tuple(p.x), tuple(p.y)) for p in found)]
+        apart = [(a[1:], b[1:]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and a[4] != b[4]]
+        want = [(a, b) for a, b in apart if 100 * min(a[1], b[1]) >= percent * max(a[1], b[1])]
+        assert not Counter(want) - Counter(pairs) and not Counter(pairs) - Counter(apart) and len(pairs) < len(apart) / 2
+
+
 def test_empty_tables(spark):
     empty = fx.frame(spark, [])
     for f in (remove_repeated_windows, remove_repeated_bytes, jaccard_components):
