@@ -3,19 +3,19 @@
 Features are hashed 1- to 3-grams of the lower-cased text, padded with spaces; weights are log(1 + count) * idf, of
 length 1.  Document frequencies are counted over every training document, by the executors.  The regression is trained on
 the driver with follow-the-regularised-leader (per coordinate) under an elastic-net penalty, on at most `rows_per_class`
-training documents of each label (those with the smallest hash of their id; the bound is a parameter of the fit alone),
-of which a fifth is kept back to fit the temperature that calibrates the probabilities.  Prediction is row by row, without a shuffle.
+training documents of each label (those with the smallest hash of id and text, equal ones once; the bound is a parameter of
+the fit alone), of which a fifth is kept back to fit the temperature that calibrates the probabilities.  Prediction is row by row, without a shuffle.
 
 Nulls: a null text or one without letters is `und` with score 0; a row with a null id is never learned from, and is
 not held out; a null label is not learned from.  Without any labelled row all predictions are `und`.  Ties go to the label that is
-first in order.  Empty tables give empty results; other columns are ignored.
+first in order.  Empty tables give empty results; other columns are kept or ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._blocks import tidy
@@ -128,14 +128,17 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     counts[list(df)] = list(df.values())
     idf = (np.log((1 + n) / (1 + counts)) + 1).astype(np.float32)
 
-    per_class = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}  # a row per language
+    key = F.xxhash64("id", "text")
+    per_class = {r.label: r.n for r in rows.groupBy("label").agg(F.approx_count_distinct(key).alias("n")).collect()}  # a row per language
     classes = sorted(per_class)
     if not classes:
         return LanguageModel([], idf, np.zeros((1 << bits, 0), np.float32), 1.0, bits)
-    share = F.pmod(F.xxhash64(F.col("id")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     keep = F.lit(False)
     for c in classes:
-        keep = keep | ((F.col("label") == c) & (share < rows_per_class / per_class[c]))
+        keep = keep | ((F.col("label") == c) & (F.col("share") < 1.5 * rows_per_class / per_class[c]))
+    some = rows.select("text", "label", key.alias("key"), (F.pmod(key, F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("share")).where(keep).dropDuplicates(["label", "key"])
+    place = F.row_number().over(Window.partitionBy("label").orderBy("share", "key"))
+    some = some.withColumn("place", place).where(F.col("place") <= rows_per_class).repartition(rows.sparkSession.sparkContext.defaultParallelism, "key")
 
     def sample(batches):
         for batch in batches:
@@ -145,7 +148,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
                 at = [np.flatnonzero(r) for r in x]
                 yield pa.RecordBatch.from_arrays([pa.array(key[a:b], pa.int64()), pa.array(label[a:b], pa.string()), pa.array(at, pa.list_(pa.int32())), pa.array([r[i] for r, i in zip(x, at, strict=True)], pa.list_(pa.float32()))], ["key", "label", "at", "x"])
 
-    table = rows.where(keep).select("text", "label", F.xxhash64("id", "text").alias("key")).mapInArrow(sample, "key long, label string, at array<int>, x array<float>").toArrow()
+    table = some.select("text", "label", "key").mapInArrow(sample, "key long, label string, at array<int>, x array<float>").toArrow()
     data = sorted(zip(table["key"].to_pylist(), table["label"].to_pylist(), (np.asarray(v.values) for v in table["at"]), (np.asarray(v.values) for v in table["x"]), strict=True), key=lambda r: r[:2])
     train, kept = [r for i, r in enumerate(data) if i % 5], data[::5]
     model, order = Ftrl(1 << bits, len(classes)), np.random.default_rng(7)
@@ -179,7 +182,8 @@ def calibrate(scores: np.ndarray, truth: np.ndarray) -> float:
 
 
 def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", label: str = "lang_pred", score: str = "score") -> DataFrame:
-    """docs with two more columns."""
+    """docs with two more columns; columns of docs that have their names give way."""
+    docs = docs.drop(label, score)
     names = docs.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import zlib
+from collections import Counter
 
 import fixtures as fx
 import numpy as np
@@ -56,6 +57,26 @@ def test_labels_and_ids_are_not_inputs(spark):
     assert a == b
 
 
+def test_the_sample_is_bounded(spark, monkeypatch):
+    """rows_per_class rows of each label, however often a row or an id repeats."""
+    r, learned = random.Random(5), Counter()
+    data = [(i, _text(r, lang, 12), lang) for i, lang in enumerate(["aa", "bb"] * 60)]
+    data += [data[0]] * 300 + [(7, _text(r, "cc", 9), "cc") for _ in range(90)] + [(200, "one row", "dd")] * 400
+    learn = L.Ftrl.learn
+    monkeypatch.setattr(L.Ftrl, "learn", lambda self, at, x, k: (learned.update([k]), learn(self, at, x, k)))
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    model = L.fit(docs, rows_per_class=20, epochs=1)
+    assert model.classes == ["aa", "bb", "cc", "dd"] and sum(learned.values()) == 48
+    assert learned[3] <= 1 and all(10 <= learned[k] <= 20 for k in range(3))
+
+
+def test_columns_of_the_new_names_give_way(spark):
+    docs, _ = _corpus(spark)
+    model = L.fit(docs, rows_per_class=30, epochs=1)
+    rows = L.predict(docs.select("doc_id", F.lit("x").alias("lang_pred"), "text", F.lit("y").alias("score")), model).collect()
+    assert rows[0].__fields__ == ["doc_id", "text", "lang_pred", "score"] and {x.lang_pred for x in rows} <= {"aa", "bb", "cc", "und"}
+
+
 def test_no_labels_and_empty(spark):
     docs, _ = _corpus(spark)
     model = L.fit(docs.where("lang = 'none'"))
