@@ -91,3 +91,16 @@ def test_rows_that_share_an_id(spark, corpus):
     found = corpus_pipeline.duplicates(spark, docs, corpus[0])
     assert found.columns == docs.columns
     assert sorted(((x.doc_id, x.text) for x in found.collect()), key=repr) == sorted([(7, a), (7, b), (5, c), (12, None), (None, a), (13, "")], key=repr)
+
+
+def test_columns_named_like_the_stages_own(spark, corpus):
+    folder, data, _ = corpus
+    names = ["__key", "__n", "__lang", "__score"]
+    docs = spark.createDataFrame([(*r, *(f"{n}{i}" for n in names)) for i, r in enumerate(data)], COLUMNS + "".join(f", {n} string" for n in names))
+    plain = spark.createDataFrame(data, COLUMNS)
+    for _, stage in corpus_pipeline.STAGES[:2]:
+        rows = stage(spark, docs, folder)
+        assert rows.columns == docs.columns
+        rows = rows.collect()
+        assert all(len({r[n].removeprefix(n) for n in names}) == 1 for r in rows)
+        assert sorted((tuple(r)[:5] for r in rows), key=repr) == sorted(map(tuple, stage(spark, plain, folder).collect()), key=repr)
