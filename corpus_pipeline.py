@@ -15,6 +15,8 @@ from quillrank.llm._blocks import written
 
 #: Documents whose language is less probable than this are rejected.
 LEAST_SCORE = 0.5
+#: How probable it may be that any word of its documents goes with an entity by chance.
+CHANCE = 0.05
 
 
 def _free(docs: DataFrame, name: str) -> str:
@@ -54,8 +56,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data and the terms that reveal it taken out of the texts."""
-    return disclosure.sanitise(docs)
+    """All documents, with personal data and the terms that reveal it taken out of the texts.
+
+    Words near an entity are terms by their share of its information, those of the whole document if chance does not explain them either.
+    """
+    return disclosure.sanitise(docs, chance=CHANCE)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -75,6 +75,20 @@ def test_stages(spark, corpus):
     assert found == sorted(last, key=repr)
 
 
+def test_personal_data_looks_at_whole_documents(spark, corpus):
+    """A name far from the address goes at all its places, before and after; words that are common stay."""
+    r = random.Random(5)
+    far = "common words everywhere " * 12
+    texts = [f"Zanzibar {far} kim@mail.example {far} Zanzibar {_text(r, 'aa', 6)}" for _ in range(4)]
+    texts += [f"{far} {_text(r, 'bb', 30)}" for _ in range(300)]
+    docs = spark.createDataFrame([(i, x, "aa", "s", 1) for i, x in enumerate(texts)], COLUMNS)
+    found = {x.doc_id: x.text for x in corpus_pipeline.personal_data(spark, docs, corpus[0]).collect()}
+    assert len(found) == len(texts)
+    for i in range(4):
+        assert "Zanzibar" not in found[i] and found[i].count("common") == 24 and found[i].count("<EMAIL>") == 1
+    assert all(found[i] == texts[i] for i in range(4, len(texts)))
+
+
 def test_stages_on_empty_tables(spark, corpus):
     folder, _, _ = corpus
     docs = spark.createDataFrame([], COLUMNS)
